@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -53,7 +54,7 @@ CONSENT = _compiled(
 _CONSENT_HINTS = ("cookie", "traceurs", "small files", "クッキー")
 # Words of sharing, print, feedback, counter and skip lines; whole line.
 TOOLS = _compiled(
-    r"(?:tell a friend|share|save|mail|print|print this page|back to top|subscribe to our newsletter|was this page helpful\?|yes|no|"
+    r"(?:tell a friend|share|save|mail|print|print this page|back to top|subscribe to our newsletter|was this page helpful\?(?: yes)?|yes|no|"
     r"skip to (?:main )?content|menu|search|log ?in|register|\d+ visitors this week|teilen|drucken|seite drucken|nach oben|"
     r"zum inhalt springen|partager|imprimer|haut de page|aller au contenu|compartir|imprimir|volver arriba|ir al contenido|"
     r"печать|наверх|поделиться|印刷|共有|ページの先頭へ|本文へ|yes / no)",
@@ -76,6 +77,8 @@ LONG = 72
 """A line of at least so many characters, or one with sentence marks, is running text."""
 MIN_PAGES, MIN_SHARE, OVER_OTHERS = 3, 0.03, 2.5
 """A host path wins with so many different pages, that share of the host's pages and that multiple of its share elsewhere."""
+DIFFERENT = 0.5
+"""Of the first 32 pages with a host path, so large a share must have different bodies."""
 ALL_PAGES, ALL_HOSTS, ONE_SIDED, IN_RUN = 8, 3, 0.3, 0.8
 """A path wins over all hosts with so many pages on so many hosts, if running text follows in at most the
 share ONE_SIDED of them, or if it stands in a run of menu entries in at least the share IN_RUN and running text comes before it in at most the share ONE_SIDED."""
@@ -179,7 +182,7 @@ def _votes(texts: Iterable[tuple[str, str]]) -> dict[tuple[str, int], list[int]]
             continue
         body = [k for k, x in enumerate(rows) if x.long and not (x.sentence and len(x.text) < 45) and not x.cue()]
         first, last = (body[0], body[-1]) if body else (n, -1)
-        bit = 1 << (max((hash_of(rows[k].low) for k in body), default=hash_of(text)) & 63)
+        bit = 1 << (_body(" ".join([rows[k].low for k in body]) or text) & 63)
         seen = {0}
         add = seen.add
 
@@ -214,8 +217,13 @@ def _votes(texts: Iterable[tuple[str, str]]) -> dict[tuple[str, int], list[int]]
     return out
 
 
-def hash_of(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+def _body(text: str) -> int:
+    """A hash that copies of a text mostly share, small edits, order and line breaks aside: the least over pairs of words."""
+    words = text.split()
+    if len(words) < 8:
+        words = re.split("[。、 ]", text)
+    least = min((crc32((w + v).encode("utf-8", "surrogatepass")) for w, v in zip(words, words[1:]) if len(w) > 6), default=crc32(text.encode("utf-8", "surrogatepass")))
+    return least * 0x9E3779B1 >> 7
 
 
 def path_votes(pages: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -263,7 +271,7 @@ def winning_paths(votes: DataFrame) -> DataFrame:
     bodies = F.when(bits < 50, -64 * F.log(1 - bits / 64)).otherwise(F.col("pages"))
     share = F.least(F.col("pages"), bodies) / F.col("host_pages")
     elsewhere = (F.col("all_pages") - F.col("pages")) / F.greatest(F.lit(total) - F.col("host_pages"), F.lit(1))
-    own = own.filter((share >= MIN_SHARE) & (share >= OVER_OTHERS * elsewhere))
+    own = own.filter((share >= MIN_SHARE) & (share >= OVER_OTHERS * elsewhere) & (bits >= DIFFERENT * F.least(F.col("pages"), F.lit(32))))
     return own.select("host", "path").unionByName(over.select(F.lit("*").alias("host"), "path"))
 
 
@@ -372,6 +380,9 @@ def other_lines(text: str, won: set[int]) -> list[int]:
         elif known(x) or (not x.sentence and (row(x) or (all(off[:k]) and len(x.cells()) >= SHAPED and not _DIGITS.search(x.text) and max(map(len, x.cells())) <= 24))):
             off[k] = True
             k += 1
+        elif x.short and all(off[:k]) and k + 1 < n and not off[k + 1] and (menu_run(k + 1) - k > RUN or (row(rows[k + 1]) and len(rows[k + 1].cells()) >= RUN)):
+            off[k] = True  # a name above the menu
+            k += 1
         else:
             break
 
