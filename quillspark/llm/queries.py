@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import boilerplate, textform
+from quillspark.llm import boilerplate, neardup, textform
 from quillspark.runtime import materialize, table
 
 
@@ -18,6 +18,16 @@ def p1_main_text(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_text(table(spark, d, "documents", "doc_id", "text", "source"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.near_duplicates(table(spark, d, "documents", "doc_id", "text", "source"), width=3, similarity=0.6, least_words=20)
+    return neardup.expanded(links, members)
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.near_duplicates(table(spark, d, "documents", "doc_id", "text", "source"))
+    return neardup.grouped(links, members)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.lookalike_pairs(materialize(textform.lookalike_keys(table(spark, d, "documents", "doc_id", "text"))))
 
@@ -27,7 +37,7 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_main_text, p4_found, p4_forms)
+    found = (p1_found, p1_main_text, p3_found, p3_groups, p4_found, p4_forms)
     return {f.__name__: f for f in found}
 
 
