@@ -122,8 +122,11 @@ def sketch(pages: DataFrame, winners: DataFrame, width: int, least_words: int, *
     return over_pages(pages, winners, run, "doc_id long, set_key binary, fingerprint long, bands array<long>", **columns)
 
 
+_ALL = (1 << 64) - 1
+
+
 class BKTree:
-    """A metric tree over integers under Hamming distance; equal values share a node."""
+    """A metric tree over non-negative integers under Hamming distance; equal values share a node."""
 
     def __init__(self):
         self.value: list[int] = []
@@ -188,7 +191,7 @@ def _shards(r: int):
         ends = np.append(starts[1:], len(shard))
         out: list[tuple[int, int]] = []
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            out += _tree_pairs(ids[s:e].tolist(), prints[s:e].tolist(), r)
+            out += _tree_pairs(ids[s:e].tolist(), prints[s:e].view(np.uint64).tolist(), r)
         return out
 
     def run(batches):
@@ -222,10 +225,10 @@ def _block_pairs(r: int):
             for left, right, same in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), b.column("same").to_pylist()):
                 tree = BKTree()
                 for k, x in enumerate(left):
-                    tree.add(x["fingerprint"], k)
+                    tree.add(x["fingerprint"] & _ALL, k)
                 for x in left if same else right:
                     i = x["id"]
-                    out.update((min(i, left[j]["id"]), max(i, left[j]["id"])) for j in tree.within(x["fingerprint"], r) if left[j]["id"] != i)
+                    out.update((min(i, left[j]["id"]), max(i, left[j]["id"])) for j in tree.within(x["fingerprint"] & _ALL, r) if left[j]["id"] != i)
             yield _batch(out)
 
     return run
