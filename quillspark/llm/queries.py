@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import boilerplate, neardup, textform
+from quillspark.llm import boilerplate, encoding, fusion, neardup, packing, splitting, termweight, textform
 from quillspark.runtime import materialize, table
 
 
@@ -36,11 +37,67 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return textform.with_form(table(spark, d, "documents", "doc_id", "text"), fold_case=True).select("doc_id", "form")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    wanted = termweight.Wanted(least_tf=5, least_df=2, most_df=9, pattern="[a-z]{4,}")
+    return termweight.term_weights(table(spark, d, "documents", "doc_id", "text"), wanted).select("doc_id", "term")
+
+
+def p2_weights(spark: SparkSession, d: str) -> DataFrame:
+    return termweight.term_weights(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    ranked = fusion.query_ranking(table(spark, d, "page_scores"), table(spark, d, "search_queries"))
+    return fusion.top(ranked, "query_id", "doc_id", "top_k", 5).select("query_id", "doc_id")
+
+
+def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
+    ranked = fusion.query_ranking(table(spark, d, "page_scores"), table(spark, d, "search_queries"))
+    return ranked.select("query_id", "doc_id", F.round("points", 9).alias("points"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encoded(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.filled(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "token_limits"))
+
+
+def p9_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p9_containers(spark, d))
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "token_limits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_main_text, p3_found, p3_groups, p4_found, p4_forms)
+    found = (
+        p1_found, p1_main_text, p2_found, p2_weights, p3_found, p3_groups, p4_found, p4_forms, p7_found, p7_ranking,
+        p8_ids, p9_containers, p9_fill_report, p10_pieces,
+    )
     return {f.__name__: f for f in found}
 
 
+# The share of a query's documents with a lower score; NaN and null are lower than all.
+P7 = """
+WITH latest AS (
+  SELECT query_id, doc_id, CASE WHEN isnan(tf_idf_score) THEN NULL ELSE tf_idf_score END AS a, CASE WHEN isnan(current_pr) THEN NULL ELSE current_pr END AS b
+  FROM page_scores WHERE query_id IS NOT NULL AND doc_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY scored_at DESC NULLS LAST, a DESC NULLS LAST, b DESC NULLS LAST) = 1
+), placed AS (
+  SELECT l.query_id, l.doc_id, top_k, coalesce(page_rank_weight, 1) AS w,
+    CASE WHEN a IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY l.query_id ORDER BY a NULLS FIRST) - 1) / count(*) OVER (PARTITION BY l.query_id) END AS pa,
+    CASE WHEN b IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY l.query_id ORDER BY b NULLS FIRST) - 1) / count(*) OVER (PARTITION BY l.query_id) END AS pb
+  FROM latest l JOIN search_queries q ON l.query_id = q.query_id
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
-    return {}
+    return {
+        "p7_found": P7 + "SELECT query_id, doc_id FROM placed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pa + w * pb DESC, doc_id) <= coalesce(top_k, 5)",
+        "p7_ranking": P7 + "SELECT query_id, doc_id, round(pa + w * pb, 9) AS points FROM placed",
+    }
