@@ -63,7 +63,8 @@ TOOLS = _compiled(
 # Openings of change dates.
 CHANGED = _compiled(r"(?:last (?:change|modified|update)|page updated on|this page was generated|stand:|dernière (?:mise|modification)|última (?:actualización|modificación)|последнее|обновлено|最終更新)", re.I)
 # Rights, telephone and address lines of footers.
-RIGHTS = _compiled(r"^(?:copyright\b|\(c\)|©|tel\.? ?[+:]|phone\b)|all rights reserved|alle rechte vorbehalten|tous droits|todos los derechos|все права|無断転載")
+RIGHTS = _compiled(r"copyright\b|\(c\)|©|tel\.? ?[+:]|phone\b")
+RESERVED = tuple(map(form, ("all rights reserved", "alle rechte vorbehalten", "tous droits", "todos los derechos", "все права", "無断転載")))
 ADDRESS = re.compile(r"^\d+ [^\W\d_]+ (?:street|road|lane|way|square|avenue|drive), [A-Z]\d+$", re.I)
 _DATE = re.compile(r"\d+ [^\W\d_]+ (?:19|20)\d\d")
 DATED = re.compile(r"^\d{1,2} [A-Z]\w+ \d{4}: ")
@@ -106,9 +107,9 @@ class Line:
     def __init__(self, text: str):
         m = MARK.match(text) if text[0] in "0123456789*•·-–" else None
         self.mark = "" if m is None else "1" if m[1] else "*"
-        bare = text[m.end() :] if m else text
+        bare = (text[m.end() :] or text) if m else text
         self.text = bare
-        self.sentence = bare[-1:] in STOP or ". " in bare or "? " in bare or "! " in bare or "。" in bare
+        self.sentence = bare[-1] in STOP or ". " in bare or "? " in bare or "! " in bare or "。" in bare
         self.long = len(bare) >= LONG or self.sentence
         self.short = len(bare) <= 32 and not self.sentence
         self.low = bare.lower()
@@ -117,7 +118,11 @@ class Line:
     def cells(self) -> list[str]:
         """The entries of a row, or the line as its only one."""
         if self._cells is None:
-            self._cells = [c for c in SEPARATOR.split(self.low) if c] if " " in self.text and len(self.text) < 400 else [self.low]
+            low = self.low
+            if " " in low and len(low) < 400 and SEPARATOR.search(low):
+                self._cells = [c for c in SEPARATOR.split(low) if c]
+            else:
+                self._cells = [low]
         return self._cells
 
     def key(self) -> int:
@@ -132,13 +137,13 @@ class Line:
         if self._cue is None:
             t, low = self.text, self.low
             cue = ""
-            if len(t) <= 260:
+            if len(t) <= 260 and not t[0].islower():
                 if any(w in low for w in _CONSENT_HINTS) and CONSENT.search(t):
                     cue = "consent"
                 elif len(t) <= 130:
-                    if (t[0].isdigit() and ADDRESS.match(t)) or RIGHTS.search(low):
+                    if RIGHTS.match(low) or (t[0].isdigit() and ADDRESS.match(t)) or any(w in low for w in RESERVED):
                         cue = "foot"
-                    elif len(t) <= 70 and t[-1].isdigit() | t[-1].isalpha() and CHANGED.match(low) and _DIGITS.search(t):
+                    elif len(t) <= 70 and CHANGED.match(low) and _DIGITS.search(t):
                         cue = "changed"
                     elif low in BOX_HEADS or (len(self.cells()) > 1 and self.cells()[0] in BOX_HEADS):
                         cue = "box"
@@ -163,11 +168,16 @@ def _line(text: str) -> Line:
     return x
 
 
-def lines_of(text: str) -> list[Line | None]:
-    """One entry per line of ``text``, which are separated by ``\\n``; None for a blank one."""
+def _shown(text: str) -> str:
+    """The form of ``text`` with as many lines."""
     shown = form(text)
     if "\r" in text and shown.count("\n") != text.count("\n"):
         shown = "\n".join(form(x.rstrip("\r").replace("\r", " ")) for x in text.split("\n"))
+    return shown
+
+
+def lines_of(shown: str) -> list[Line | None]:
+    """One entry per line of a text in its form, which are separated by ``\n``; None for a blank one."""
     return [_line(s) if (s := x.strip()) else None for x in shown.split("\n")]
 
 
@@ -176,7 +186,7 @@ def _votes(texts: Iterable[tuple[str, str]]) -> dict[tuple[str, int], list[int]]
     it in a run of entries; and a bitmap of the bodies it came with, so that copies of a page count once."""
     out: dict[tuple[str, int], list[int]] = {}
     for host, text in texts:
-        rows = [x for x in lines_of(text) if x is not None]
+        rows = [x for x in lines_of(_shown(text)) if x is not None]
         n = len(rows)
         if n < 2:
             continue
@@ -291,9 +301,9 @@ def _entry(x: Line, following: Line | None, adjacent: bool) -> bool:
     return not (len(t) >= 40 and following.text[:1].islower() or len(t) >= 52 and len(following.text) >= 45)
 
 
-def other_lines(text: str, won: set[int]) -> list[int]:
+def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]:
     """Numbers of the non-blank lines of a page that are not its main text; ``won`` are the winners of its host."""
-    every = lines_of(text)
+    every = lines_of(_shown(text) if shown is None else shown)
     at = [k for k, x in enumerate(every) if x is not None]
     n = len(at)
     if n < 2:
@@ -515,6 +525,13 @@ def main_lines(text: str, won: set[int] | None) -> str:
     return text if not off else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in off)
 
 
+def main_form(text: str, won: set[int] | None) -> str:
+    """The main text of a page in its form."""
+    shown = _shown(text)
+    off = set(other_lines(text, won, shown)) if won is not None else ()
+    return shown if not off else "\n".join(x for k, x in enumerate(shown.split("\n")) if k not in off)
+
+
 def host_winners(pages: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """Votes and elects: the written table of winners of all hosts of ``pages``."""
     return materialize(winning_paths(path_votes(pages, text, host)))

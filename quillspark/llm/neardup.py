@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.boilerplate import host_winners, main_lines, over_pages
-from quillspark.llm.textform import form
+from quillspark.llm.boilerplate import host_winners, main_form, over_pages
 from quillspark.runtime import broadcast_if_small, materialize, small
 
 WORDS = re.compile(r"[^\W_]+")
@@ -35,11 +34,11 @@ BANDS, ROWS, BITS = 28, 3, 64
 TREE = 2_000
 """A BK-tree holds at most so many fingerprints."""
 _rng = np.random.default_rng(20240229)
-_MUL = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MUL = (_rng.integers(1, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 _BAND = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+_STEP = [np.uint64(x) for x in _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_HASHES: dict[str, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,41 +48,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(word: str) -> int:
-    h = _HASHES.get(word)
-    if h is None:
-        if len(_HASHES) > 300_000:
-            _HASHES.clear()
-        h = _HASHES[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h
+class _Hashes(dict):
+    """Hashes of words; kept for a bounded number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hash = _Hashes().__getitem__
 
 
 def shingles(text: str, width: int, least_words: int) -> np.ndarray | None:
-    """Sorted distinct 64-bit hashes of ``width`` consecutive words; None for a text of fewer than ``least_words``."""
-    words = WORDS.findall(form(text).lower())
+    """Sorted distinct 64-bit hashes of ``width`` consecutive words of a text in its form; None for a text of fewer
+    than ``least_words``."""
+    words = WORDS.findall(text.lower())
     if len(words) < max(least_words, width):
         return None
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(_hash, words), np.uint64, len(words))
     n = len(h) - width + 1
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + _mix(h[k : k + n])
-        return np.unique(_mix(out))
+    out = h[:n] * _STEP[0]
+    for k in range(1, width):
+        out += h[k : k + n] * _STEP[k]
+    out = _mix(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def signature(sh: np.ndarray) -> np.ndarray:
     """The least value of the shingles under each hash function."""
-    with np.errstate(over="ignore"):
-        least = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
-        for k in range(0, len(sh), 4096):
-            least = np.minimum(least, (sh[k : k + 4096, None] * _MUL + _ADD).min(axis=0))
-    return least
+    h = (sh >> np.uint64(32)).astype(np.uint32)
+    least = None
+    for k in range(0, len(h), 8192):
+        m = (h[k : k + 8192] * _MUL + _ADD).min(axis=1)
+        least = m if least is None else np.minimum(least, m)
+    return least.astype(np.uint64)
 
 
 def _bands(least: np.ndarray) -> tuple[int, np.ndarray]:
     with np.errstate(over="ignore"):
-        mixed = _mix(least)
+        mixed = _mix(least + np.uint64(1))
         fingerprint = int((_POWERS * ((mixed[:BITS] >> np.uint64(17)) & np.uint64(1))).sum(dtype=np.uint64))
         t = mixed.reshape(BANDS, ROWS)
         keys = _mix(t[:, 0] * _BAND + t[:, 1] * np.uint64(0x9E3779B97F4A7C15) + _mix(t[:, 2] + _BAND))
@@ -108,7 +114,7 @@ def sketch(pages: DataFrame, winners: DataFrame, width: int, least_words: int, *
         for i, t, w in zip(ids, texts, wons):
             if not t or i is None:
                 continue
-            sh = shingles(main_lines(t, w), width, least_words)
+            sh = shingles(main_form(t, w), width, least_words)
             if sh is None:
                 continue
             f, b = _bands(signature(sh))
@@ -261,7 +267,7 @@ def verified(pairs: DataFrame, pages: DataFrame, winners: DataFrame, width: int,
     ends = pairs.select(F.col("a").alias(id_column)).unionByName(pairs.select(F.col("b").alias(id_column))).distinct()
 
     def run(ids, texts, wons):
-        made = [shingles(main_lines(t, w), width, least_words) for t, w in zip(texts, wons)]
+        made = [shingles(main_form(t, w), width, least_words) for t, w in zip(texts, wons)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if x is None else x.tobytes() for x in made], pa.binary())], names=["id", "sh"])
 
     sh = materialize(over_pages(pages.join(broadcast_if_small(ends, 1_000_000), id_column, "left_semi"), winners, run, "id long, sh binary", **columns).dropDuplicates(["id"]))
