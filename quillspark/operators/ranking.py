@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import Analyzer, standard
 from quillspark.operators.search import query_terms
-from quillspark.runtime import materialize
+from quillspark.runtime import broadcast_if_small, materialize, small
 
 DAMPING = 0.85
 
@@ -58,26 +58,37 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("out_degree"))
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, cut_every: int = 5) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, cut_every: int = 5, hub_edges: int = 1_000_000) -> DataFrame:
     """``(id, rank)`` after synchronous rounds of 0.15 + 0.85 * sum(rank(src) / out_degree(src)) from 1.0.
 
     Parallel edges and self-links count, dangling mass is not shared out. Edges whose ends are no nodes, or
     null, are left out. Parallel edges fold into one weighted edge first; the weighted edges are partitioned by
-    source once for all rounds, and a hot target's contributions are summed before they are shuffled. The ranks
-    are written to the shared folder every few rounds.
+    source once for all rounds, but for those of hubs, sources of more than ``hub_edges`` targets, and a hot
+    target's contributions are summed before they are shuffled. The ranks are written to the shared folder every
+    few rounds.
     """
     ids = materialize(nodes.select("id").filter("id IS NOT NULL").distinct())
     good = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
     folded = good.groupBy("src", "dst").agg(F.count("*").alias("n"))
     weighted = materialize(folded.join(folded.groupBy("src").agg(F.sum("n").alias("d")), "src").select("src", "dst", (F.col("n") / F.col("d")).alias("w")))
-    weighted = weighted.repartition("src").persist()
+    hubs = materialize(weighted.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > hub_edges).select("src"))
+    parts = [weighted.repartition("src").persist()]
+    if not small(hubs, 0):
+        # Their number is bounded by edges / hub_edges; their edges stay where they are and their ranks are broadcast.
+        known = broadcast_if_small(hubs, 1_000_000)
+        parts = [weighted.join(known, "src", "left_anti").repartition("src").persist(), weighted.join(known, "src", "left_semi").persist()]
     ranks = ids.withColumn("rank", F.lit(1.0))
     for k in range(1, iterations + 1):
-        came = weighted.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
+        of = ranks.select(F.col("id").alias("src"), "rank")
+        sent = parts[0].join(of, "src").select("dst", "rank", "w")
+        if len(parts) > 1:
+            sent = sent.unionByName(parts[1].join(F.broadcast(of.join(known, "src", "left_semi")), "src").select("dst", "rank", "w"))
+        came = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
         ranks = ids.join(came, "id", "left").select("id", (F.lit(1 - DAMPING) + F.lit(DAMPING) * F.coalesce("came", F.lit(0.0))).alias("rank"))
         if k % cut_every == 0 or k == iterations:
             ranks = materialize(ranks)
-    weighted.unpersist()
+    for p in parts:
+        p.unpersist()
     return ranks
 
 

@@ -492,7 +492,7 @@ def p6_cascade(spark, d):
         refers("id_graph", "src", "url_map"), refers("id_graph", "dst", "url_map"), refers("documents", "doc_id", "url_map"),
         refers("page_scores", "doc_id", "documents"), refers("page_scores", "query_id", "search_queries"), refers("inverted_index", "doc_id", "documents"),
     ]
-    return orphans.cascade(tables, relations)
+    return orphans.Cascade(tables, relations).report()
 
 
 def queries() -> dict[str, Query]:
