@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.runtime import materialize, small
+from quillspark.runtime import broadcast_if_small, materialize, small
 
 RANGE = 50_000
 
@@ -30,34 +30,33 @@ def latest_rows(scores: DataFrame, group: str, item: str, columns: list[str], la
     return best.select(group, item, *(F.col(f"_best.{c}").alias(c) for c in columns))
 
 
-def _ranges(df: DataFrame, group: str, score: str, hot: DataFrame | None) -> DataFrame:
-    """``df`` with ``_range``: 0 in usual groups; in large ones the number of bounds below the score."""
-    if hot is None:
-        return df.withColumn("_range", F.lit(0))
-    share = [k / 256 for k in range(1, 256)]
-    bounds = df.join(F.broadcast(hot) if small(hot, 100_000) else hot, group, "left_semi").groupBy(group).agg(F.percentile_approx(score, F.array(*map(F.lit, share)), 2_000).alias("_bounds"))
-    split = F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col(score)))
-    return df.join(F.broadcast(bounds), group, "left").withColumn("_range", F.when(F.col("_bounds").isNull() | F.col(score).isNull(), 0).otherwise(split)).drop("_bounds")
-
-
 def places(df: DataFrame, group: str, score: str, out: str, ties: str = "below", missing: str = "last", range_rows: int = RANGE) -> DataFrame:
-    """``df`` with ``out``: the share of the group's rows with a lower ``score``."""
-    df = df.withColumn("_there", F.col(score).isNotNull().cast("int"))
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"), F.sum("_there").alias("_m"))
-    hot = materialize(sizes.filter(F.col("_n") > range_rows).select(group))
-    df = _ranges(df, group, score, None if small(hot, 0) else hot)
-    # Missing scores have a range of their own, below all.
-    counts = df.groupBy(group, "_there", "_range").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(group).orderBy("_there", "_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inner = Window.partitionBy(group, "_there", "_range").orderBy(score)
-    ranked = df.withColumn("_rank", F.rank().over(inner) - 1)
-    if ties == "average":
-        ranked = ranked.withColumn("_rank", F.col("_rank") + (F.count("*").over(Window.partitionBy(group, "_there", "_range", score)) - 1) / 2)
-    joined = ranked.join(offsets, [group, "_there", "_range"]).join(sizes, group)
-    place: Column = (F.col("_offset") + F.col("_rank")) / F.col("_n")
+    """``df`` with ``out``: the share of the group's rows with a lower ``score``.
+
+    Counts of equal scores are combined first, so neither ties nor missing scores gather rows; a group with more
+    different scores than ``range_rows`` is cut at bounds of a mergeable quantile sketch, whose error moves only
+    the cuts.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"), F.count(score).alias("_m"))
+    values = materialize(df.filter(F.col(score).isNotNull()).groupBy(group, F.col(score).alias("_v")).agg(F.count("*").alias("_c")))
+    hot = materialize(values.groupBy(group).agg(F.count("*").alias("_k")).filter(F.col("_k") > range_rows).select(group))
+    if small(hot, 0):
+        values = values.withColumn("_range", F.lit(0))
+    else:
+        share = F.array(*(F.lit(k / 256) for k in range(1, 256)))
+        bounds = values.join(broadcast_if_small(hot, 100_000), group, "left_semi").groupBy(group).agg(F.array_distinct(F.percentile_approx("_v", share, 2_000)).alias("_bounds"))
+        values = values.join(broadcast_if_small(bounds, 1_000), group, "left").withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_v"))), F.lit(0))).drop("_bounds")
+    ranges = values.groupBy(group, "_range").agg(F.sum("_c").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(group, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(group, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    below = values.withColumn("_inner", F.coalesce(F.sum("_c").over(inner), F.lit(0))).join(offsets, [group, "_range"])
+    lower = F.col("_offset") + F.col("_inner") + ((F.col("_c") - 1) / 2 if ties == "average" else F.lit(0))
+    below = below.select(group, F.col("_v").alias(score), lower.alias("_below"))
+    joined = df.join(below, [group, score], "left").join(sizes, group)
+    place: Column = (F.col("_n") - F.col("_m") + F.col("_below")) / F.col("_n")
     low = F.lit(0.0) if missing == "last" else F.lit(0.5)
-    return joined.withColumn(out, F.when(F.col("_there") == 1, place).otherwise(low)).drop("_there", "_range", "_rank", "_offset", "_n", "_m")
+    return joined.withColumn(out, F.when(F.col(score).isNotNull(), place).otherwise(low)).drop("_below", "_n", "_m")
 
 
 def fused(
