@@ -29,7 +29,7 @@ from quillspark.llm.textform import form
 from quillspark.runtime import materialize, small
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LAMBDA, ROUNDS, EPSILON = 0.1, 60, 1e-7
+LAMBDA, ROUNDS, EPSILON = 0.1, 100, 1e-9
 VOCABULARY = 1_000_000
 """So many distinct terms are broadcast at most."""
 SHARE = 5e-6
@@ -42,9 +42,17 @@ def terms_of(text: str) -> Counter:
 
 
 def parsimonious(tf: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Converged probabilities of a record's terms."""
-    own = tf / tf.sum()
+    """Converged probabilities of a record's terms.
+
+    At the optimum the terms kept are those with the largest tf / background, and own = tf / v - ground with one v
+    for all of them. The rounds start there, so they converge at once instead of creeping towards zeros.
+    """
     ground = (1 / LAMBDA - 1) * background
+    order = np.argsort(-tf / ground, kind="stable")
+    v = np.cumsum(tf[order]) / (1 + np.cumsum(ground[order]))
+    kept = np.flatnonzero(tf[order] > v * ground[order])
+    own = np.maximum(tf / v[kept[-1]] - ground, 0)
+    own /= own.sum()
     for _ in range(ROUNDS):
         e = tf * own / (own + ground)
         new = e / e.sum()

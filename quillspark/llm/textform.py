@@ -11,7 +11,6 @@ Lines stay lines: ``\\n`` is kept, ``\\r\\n`` and a lone ``\\r`` become ``\\n``.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -39,6 +38,8 @@ _BLANKS = "".join(f"\\U{c:08x}" for c in range(0x80, 0x3001) if unicodedata.cate
 _DROP = re.compile(f"[{_IGNORED}]+")
 _BLANK = re.compile(f"[\t\x0b\x0c\x85  {_BLANKS}]")
 _LIKE = re.compile("[" + "".join(chr(c) for c in TWIN) + "]")
+_COMPOSED = "".join(chr(c) for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)) if ord(unicodedata.normalize("NFD", chr(c))[0]) in TWIN)
+_ANY_LIKE = re.compile(f"[{_COMPOSED}]")
 _MARKS = re.compile("[̀-ͯ]")
 _CR = re.compile("\r\n?")
 
@@ -59,7 +60,7 @@ def form(text: str | None, fold_case: bool = False) -> str | None:
     text = _DROP.sub("", text)
     if not unicodedata.is_normalized("NFKC", text):
         text = _DROP.sub("", unicodedata.normalize("NFKC", text))
-    if _LIKE.search(text):
+    if _ANY_LIKE.search(text):
         # Twins are replaced under their accents too, so an accented twin composes to the Latin letter.
         text = unicodedata.normalize("NFKC", _LIKE.sub(_twin, unicodedata.normalize("NFD", text)))
     elif _MARKS.search(text):
@@ -75,7 +76,7 @@ def form(text: str | None, fold_case: bool = False) -> str | None:
     return text
 
 
-def _map_form(column: str, out: str, fold_case: bool, schema: pa.Schema):
+def _map_form(column: str, out: str, fold_case: bool):
     def run(batches):
         cached = lru_cache(maxsize=4096)(lambda t: form(t, fold_case))
         for b in batches:
@@ -92,7 +93,7 @@ def with_form(df: DataFrame, column: str = "text", out: str = "form", fold_case:
     Batches go through Arrow; repeated short values are formed once per batch run.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    return df.mapInArrow(_map_form(column, out, fold_case, None), schema)
+    return df.mapInArrow(_map_form(column, out, fold_case), schema)
 
 
 def lookalike_keys(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -133,6 +134,3 @@ def lookalike_pairs(keys: DataFrame) -> DataFrame:
     on = (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.text_key") != F.col("b.text_key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
     return a.join(b, on).select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")).distinct()
 
-
-if sys.maxunicode < 0x10FFFF:  # pragma: no cover
-    raise ImportError("a wide Unicode build is needed")
