@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import broadcast_if_small
+from quillspark.runtime import broadcast_if_small, materialize
 
 C, V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
 M0, M1 = f"^({C})?{V}{C}", f"^({C})?{V}{C}{V}{C}"
@@ -88,11 +88,15 @@ def duckdb_sql(source: str) -> str:
 
 
 def stemmed(words: DataFrame) -> DataFrame:
-    """``(term, stem)`` for each row of ``words(term)``: one projection for each step, so no expression is evaluated twice."""
+    """``(term, stem)`` for each row of ``words(term)``, written to the shared folder.
+
+    One projection for each step, so no expression is evaluated twice; written, because a filter on the stem
+    would be pushed through all steps and grow with each.
+    """
     df = words.select("term")
     for name, e in spark_steps():
         df = df.withColumn(name, F.expr(e))
-    return df.select("term", "stem")
+    return materialize(df.select("term", "stem"))
 
 
 def stem_tokens(tokens: DataFrame, broadcast_words: int = 2_000_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,12 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def japanese_dictionary(spark: SparkSession, path: str, encoding: str = "GBK") -> DataFrame:
     """``(word, freq)`` of lines ``freq word`` in the given character set."""
-    raw = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").schema("value string").csv(path)
+
+    @F.pandas_udf("array<string>")
+    def lines(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: bytes(c).decode(encoding, "replace").splitlines())
+
+    # Spark's own readers know few character sets; a dictionary is one small file, decoded where it is read.
+    raw = spark.read.format("binaryFile").load(path).select(F.explode(lines("content")).alias("value"))
     parts = F.split(F.trim("value"), r"\s+")
     return raw.select(F.get(parts, F.lit(1)).alias("word"), F.get(parts, F.lit(0)).try_cast("bigint").alias("freq")).filter("word IS NOT NULL AND freq IS NOT NULL")
