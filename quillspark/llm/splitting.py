@@ -97,58 +97,70 @@ class Cutter:
             s -= 1
         return s
 
-    def _between(self, low: int, high: int, target: float, near: float) -> int | None:
-        """The strongest boundary from ``low`` to ``high`` near the target; else the nearest one of any strength."""
-        a, b = bisect_left(self.cuts, max(low, target - near)), bisect_right(self.cuts, min(high, target + near))
-        if a < b:
-            return self.cuts[max(range(a, b), key=lambda k: (self.strong[k], -abs(self.cuts[k] - target)))]
+    def _between(self, low: float, high: float, target: float) -> int | None:
+        """The strongest boundary from ``low`` to ``high``, of equals the nearest to the target."""
         a, b = bisect_left(self.cuts, low), bisect_right(self.cuts, high)
-        return self.cuts[min(range(a, b), key=lambda k: abs(self.cuts[k] - target))] if a < b else None
+        return self.cuts[max(range(a, b), key=lambda k: (self.strong[k], -abs(self.cuts[k] - target)))] if a < b else None
 
     def pieces(self, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
         """``(start, end, tokens)`` of each piece in tokens of the text; ``tokens`` as the piece itself encodes."""
         overlap = max(0, min(overlap, capacity - 8))
-        count = max(2, -(-(self.n - overlap) // (capacity - overlap)))
-        for extra in range(4):
-            if (made := self._try(count + extra, capacity, overlap, False)) is not None:
+        least = max(2, -(-(self.n - overlap) // (capacity - overlap)))
+        for count in range(least, least + least // 2 + 3):
+            made = self._balanced(count, capacity, overlap)
+            if made:
                 return made
-        return self._try(0, capacity, overlap, True)
+            if made is not None:
+                break  # a stretch without boundaries: more pieces do not help
+        return self._greedy(capacity, overlap)
 
-    def _try(self, count: int, capacity: int, overlap: int, always: bool) -> list[tuple[int, int, int]] | None:
+    def _balanced(self, count: int, capacity: int, overlap: int) -> list[tuple[int, int, int]] | None:
+        """Pieces around equal targets; None if the limit fails, empty if a stretch has no boundary at all."""
         out: list[tuple[int, int, int]] = []
         s, e = 0, 0
         while True:
             head = self._head(s)
             if self.n - s + head <= capacity:
-                out.append((s, self.n, self.n - s + head))
-                return out
+                return [*out, (s, self.n, self.n - s + head)]
             left = count - len(out)
-            if always:
-                left = max(2, -(-(self.n - s - overlap) // (capacity - overlap)))
             if left < 2:
                 return None
             length = (self.n - s + (left - 1) * overlap) / left
-            high = s + capacity - head
-            # What is left after this piece must fit into the pieces that follow.
-            low = max(e + 1, s + overlap + 1, self.n + (left - 2) * overlap - (left - 1) * capacity + overlap)
-            cut = self._between(low, high, s + length, NEAR * length)
-            if cut is None and always:
-                cut = self._between(max(e + 1, s + overlap + 1), high, high, 0)
+            low, high = max(e, s + overlap) + 1, s + capacity - head
+            near = NEAR * length
+            cut = self._between(max(low, s + length - near), min(high, s + length + near), s + length)
             if cut is None:
-                if not always:
-                    return None
-                cut = high
-                while not self.whole[cut] and cut > e + 1:
-                    cut -= 1
-                while cut > e + 1 and (size := len(self.v.ids(self.text[self.char[s] : self.char[cut]]))) > capacity:
-                    cut -= max(1, size - capacity)
+                cut = self._between(low, high, s + length)
+                if cut is None:
+                    return []
+            out.append((s, cut, cut - s + head))
+            e, s = cut, self._start(cut, overlap)
+
+    def _greedy(self, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
+        """Pieces in order of the text, each cut at the strongest boundary of its last part, or else between characters."""
+        out: list[tuple[int, int, int]] = []
+        s, e = 0, 0
+        while True:
+            head = self._head(s)
+            if self.n - s + head <= capacity:
+                return [*out, (s, self.n, self.n - s + head)]
+            low, high = max(e, s + overlap) + 1, s + capacity - head
+            cut = self._between(max(low, high - 2 * NEAR * capacity), high, high)
+            if cut is None:
+                cut = self._between(low, high, high)
+            if cut is not None:
+                size = cut - s + head
+            else:
+                cut = max(high, low)
+                while True:
                     while not self.whole[cut] and cut > e + 1:
                         cut -= 1
-                out.append((s, cut, len(self.v.ids(self.text[self.char[s] : self.char[cut]]))))
-            else:
-                out.append((s, cut, cut - s + head))
-            e = cut
-            s = self._start(e, overlap)
+                    size = len(self.v.ids(self.text[self.char[s] : self.char[cut]]))
+                    if size <= capacity or cut <= e + 1:
+                        break
+                    cut = max(e + 1, cut - (size - capacity))
+            out.append((s, cut, size))
+            e, s = cut, self._start(cut, overlap)
 
 
 def split(documents: DataFrame, limits: DataFrame, prefix: str = "cut_", folder: str = FOLDER, id_column: str = "doc_id", text: str = "text") -> DataFrame:
