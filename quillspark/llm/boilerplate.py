@@ -137,10 +137,10 @@ class Line:
         if self._cue is None:
             t, low = self.text, self.low
             cue = ""
-            if len(t) <= 260 and not t[0].islower():
+            if len(t) <= 260:
                 if any(w in low for w in _CONSENT_HINTS) and CONSENT.search(t):
                     cue = "consent"
-                elif len(t) <= 130:
+                elif len(t) <= (45 if t[0].islower() else 130):
                     if RIGHTS.match(low) or (t[0].isdigit() and ADDRESS.match(t)) or any(w in low for w in RESERVED):
                         cue = "foot"
                     elif len(t) <= 70 and CHANGED.match(low) and _DIGITS.search(t):
@@ -297,8 +297,8 @@ def _entry(x: Line, following: Line | None, adjacent: bool) -> bool:
         return False
     if not adjacent or following is None or following.cue() or DATED.match(following.text):
         return True
-    # A wrapped line of running text goes on in lower case, or on a line as wide.
-    return not (len(t) >= 40 and following.text[:1].islower() or len(t) >= 52 and len(following.text) >= 45)
+    # A wrapped line of running text goes on in lower case, or in a sentence on a line about as wide.
+    return not (len(t) >= 40 and following.text[:1].islower() or len(t) >= 52 and following.sentence and 45 <= len(following.text) <= len(t) + 15)
 
 
 def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]:
@@ -324,6 +324,8 @@ def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]
     title = None
     boxes = []
     content = False
+    if len(c := rows[0].cells()) > 1 and _key(c[0]) in won and any(rows[j].low == c[-1] for j in range(1, min(n, 16))):
+        off[0] = True  # the site's name and the title
     k = 0
     while k < n:
         x = rows[k]
@@ -347,7 +349,7 @@ def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]
             elif _key(c[0]) in won and _key(c[-1]) not in won and (c[-1] == "page" or any(rows[j].low == c[-1] for j in range(k + 1, min(n, k + 14)))):
                 off[k] = True
                 title = c[-1]
-        if x.long and not off[k]:
+        if x.long and not off[k] and not row(x):
             content = True
         k += 1
 
@@ -390,7 +392,7 @@ def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]
         elif known(x) or (not x.sentence and (row(x) or (all(off[:k]) and len(x.cells()) >= SHAPED and not _DIGITS.search(x.text) and max(map(len, x.cells())) <= 24))):
             off[k] = True
             k += 1
-        elif x.short and all(off[:k]) and k + 1 < n and not off[k + 1] and (menu_run(k + 1) - k > RUN or (row(rows[k + 1]) and len(rows[k + 1].cells()) >= RUN)):
+        elif (x.short or k == 0) and all(off[:k]) and k + 1 < n and not off[k + 1] and (menu_run(k + 1) - k > RUN or (row(rows[k + 1]) and len(rows[k + 1].cells()) >= RUN)):
             off[k] = True  # a name above the menu
             k += 1
         else:
