@@ -51,7 +51,6 @@ CONSENT = _compiled(
     r"stores small files on your device|файлы cookie|クッキーを使",
     re.I,
 )
-_CONSENT_HINTS = ("cookie", "traceurs", "small files", "クッキー")
 # Words of sharing, print, feedback, counter and skip lines; whole line.
 TOOLS = _compiled(
     r"(?:tell a friend|share|save|mail|print|print this page|back to top|subscribe to our newsletter|was this page helpful\?(?: yes)?|yes|no|"
@@ -138,7 +137,7 @@ class Line:
             t, low = self.text, self.low
             cue = ""
             if len(t) <= 260:
-                if any(w in low for w in _CONSENT_HINTS) and CONSENT.search(t):
+                if ("cookie" in low or "small files" in low or "traceurs" in low or "クッキー" in low) and CONSENT.search(t):
                     cue = "consent"
                 elif len(t) <= (45 if t[0].islower() else 130):
                     if RIGHTS.match(low) or (t[0].isdigit() and ADDRESS.match(t)) or any(w in low for w in RESERVED):
@@ -227,13 +226,16 @@ def _votes(texts: Iterable[tuple[str, str]]) -> dict[tuple[str, int], list[int]]
     return out
 
 
+_PAIR = re.compile(rb"[^ ]{7,} [^ ]+")
+"""A long word and the next one, in UTF-8."""
+
+
 def _body(text: str) -> int:
-    """A hash that copies of a text mostly share, small edits, order and line breaks aside: the least over pairs of words."""
-    words = text.split()
-    if len(words) < 8:
-        words = re.split("[。、 ]", text)
-    least = min((crc32((w + v).encode("utf-8", "surrogatepass")) for w, v in zip(words, words[1:]) if len(w) > 6), default=crc32(text.encode("utf-8", "surrogatepass")))
-    return least * 0x9E3779B1 >> 7
+    """A hash that copies of a text mostly share, small edits, order and line breaks aside: the least over pairs of
+    words, or over sentences in a script without blanks."""
+    data = text.encode("utf-8", "surrogatepass")
+    parts = data.split("。".encode()) if "。" in text else _PAIR.findall(data)
+    return min(map(crc32, parts), default=crc32(data)) * 0x9E3779B1 >> 7
 
 
 def path_votes(pages: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

@@ -38,6 +38,9 @@ _BLANKS = "".join(f"\\U{c:08x}" for c in range(0x80, 0x3001) if unicodedata.cate
 _DROP = re.compile(f"[{_IGNORED}]+")
 _BLANK = re.compile(f"[\t\x0b\x0c\x85  {_BLANKS}]")
 _LIKE = re.compile("[" + "".join(chr(c) for c in TWIN) + "]")
+# Characters that are in the form wherever they stand; most texts hold no others, which one scan tells.
+_PLAIN = "".join(chr(c) for c in (*range(0xA1, 0x180), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022) if c != 0xAD and unicodedata.normalize("NFKC", chr(c)) == chr(c))
+_OTHER = re.compile(f"[^\\n -~{_PLAIN}]")
 _COMPOSED = "".join(chr(c) for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)) if ord(unicodedata.normalize("NFD", chr(c))[0]) in TWIN)
 _ANY_LIKE = re.compile(f"[{_COMPOSED}]")
 _MARKS = re.compile("[̀-ͯ]")
@@ -57,6 +60,8 @@ def form(text: str | None, fold_case: bool = False) -> str | None:
     if text.isascii():
         text = _BLANK.sub(" ", text) if "\t" in text or "\x0b" in text or "\x0c" in text else text
         return text.lower() if fold_case else text
+    if not fold_case and _OTHER.search(text) is None:
+        return text
     text = _DROP.sub("", text)
     if not unicodedata.is_normalized("NFKC", text):
         text = _DROP.sub("", unicodedata.normalize("NFKC", text))
