@@ -270,7 +270,7 @@ def verified(pairs: DataFrame, pages: DataFrame, winners: DataFrame, width: int,
         made = [shingles(main_form(t, w), width, least_words) for t, w in zip(texts, wons)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if x is None else x.tobytes() for x in made], pa.binary())], names=["id", "sh"])
 
-    sh = materialize(over_pages(pages.join(broadcast_if_small(ends, 1_000_000), id_column, "left_semi"), winners, run, "id long, sh binary", **columns).dropDuplicates(["id"]))
+    sh = materialize(over_pages(pages.join(broadcast_if_small(ends, 1_000_000), id_column, "left_semi"), winners, run, "id long, sh binary", **columns).filter("sh IS NOT NULL"))
     a, b = sh.select(F.col("id").alias("a"), F.col("sh").alias("sh_a")), sh.select(F.col("id").alias("b"), F.col("sh").alias("sh_b"))
 
     def check(batches):
@@ -286,7 +286,8 @@ def verified(pairs: DataFrame, pages: DataFrame, winners: DataFrame, width: int,
                     keep_s.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64()), pa.array(keep_s, pa.float64())], names=["a", "b", "similarity"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sh_a", "sh_b").mapInArrow(check, "a long, b long, similarity double")
+    checked = pairs.join(a, "a").join(b, "b").select("a", "b", "sh_a", "sh_b").mapInArrow(check, "a long, b long, similarity double")
+    return checked.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def near_duplicates(pages: DataFrame, width: int = 5, similarity: float = 0.8, least_words: int = 1, tree_rows: int = TREE, **columns) -> tuple[DataFrame, DataFrame]:
@@ -300,9 +301,12 @@ def near_duplicates(pages: DataFrame, width: int = 5, similarity: float = 0.8, l
     pages = pages.select(id_column, text, host)
     winners = host_winners(pages, text, host)
     sketched = materialize(sketch(pages, winners, width, least_words, **columns))
-    reps = materialize(sketched.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
-    members = sketched.select("doc_id", "set_key").join(reps.select("set_key", F.col("id").alias("rep")), "set_key").select("doc_id", "rep")
-    pairs = materialize(shard_pairs(reps.select("id", "fingerprint", "bands"), radius(similarity), tree_rows))
+    classes = sketched.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("set_key", "rep")
+    classes = materialize(classes)
+    members = sketched.select("doc_id", "set_key").join(broadcast_if_small(classes, 500_000), "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
+    copies = materialize(members.filter("doc_id <> rep").select("doc_id"))
+    reps = sketched.join(broadcast_if_small(copies, 1_000_000), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "fingerprint", "bands")
+    pairs = materialize(shard_pairs(reps, radius(similarity), tree_rows))
     return materialize(verified(pairs, pages, winners, width, least_words, similarity, **columns)), members
 
 
