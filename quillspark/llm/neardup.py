@@ -87,17 +87,13 @@ def signature(sh: np.ndarray) -> np.ndarray:
     return least.astype(np.uint64)
 
 
-def _bands(least: np.ndarray) -> tuple[int, np.ndarray]:
-    with np.errstate(over="ignore"):
-        mixed = _mix(least + np.uint64(1))
-        fingerprint = int((_POWERS * ((mixed[:BITS] >> np.uint64(17)) & np.uint64(1))).sum(dtype=np.uint64))
-        t = mixed.reshape(BANDS, ROWS)
-        keys = _mix(t[:, 0] * _BAND + t[:, 1] * np.uint64(0x9E3779B97F4A7C15) + _mix(t[:, 2] + _BAND))
-    return fingerprint, keys
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _bands(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and shard keys of a batch of signatures, one row each."""
+    mixed = _mix(least + np.uint64(1))
+    fingerprints = (_POWERS * ((mixed[:, :BITS] >> np.uint64(17)) & np.uint64(1))).sum(axis=1, dtype=np.uint64)
+    t = mixed.reshape(len(mixed), BANDS, ROWS)
+    keys = _mix(t[:, :, 0] * _BAND + t[:, :, 1] * np.uint64(0x9E3779B97F4A7C15) + _mix(t[:, :, 2] + _BAND))
+    return fingerprints.view(np.int64), keys.view(np.int64)
 
 
 def radius(similarity: float) -> int:
@@ -110,19 +106,18 @@ def sketch(pages: DataFrame, winners: DataFrame, width: int, least_words: int, *
     """``(doc_id, set_key, fingerprint, bands)`` of every page whose main text has enough words."""
 
     def run(ids, texts, wons):
-        out, keys, prints, bands = [], [], [], []
+        out, keys, least = [], [], []
         for i, t, w in zip(ids, texts, wons):
             if not t or i is None:
                 continue
             sh = shingles(main_form(t, w), width, least_words)
             if sh is None:
                 continue
-            f, b = _bands(signature(sh))
             out.append(i)
             keys.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest())
-            prints.append(_signed(f))
-            bands.append(b.view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
+            least.append(signature(sh))
+        prints, bands = _bands(np.stack(least) if least else np.zeros((0, BANDS * ROWS), np.uint64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), lists], names=["doc_id", "set_key", "fingerprint", "bands"])
 
     return over_pages(pages, winners, run, "doc_id long, set_key binary, fingerprint long, bands array<long>", **columns)
