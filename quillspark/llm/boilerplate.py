@@ -79,8 +79,8 @@ MIN_PAGES, MIN_SHARE, OVER_OTHERS = 3, 0.03, 2.5
 """A host path wins with so many different pages, that share of the host's pages and that multiple of its share elsewhere."""
 DIFFERENT = 0.5
 """Of the first 32 pages with a host path, so large a share must have different bodies."""
-ALL_PAGES, ALL_HOSTS, ONE_SIDED, IN_RUN = 8, 3, 0.3, 0.8
-"""A path wins over all hosts with so many pages on so many hosts, if running text follows in at most the
+ALL_PAGES, ALL_SHARE, ALL_HOSTS, ONE_SIDED, IN_RUN = 8, 1e-4, 3, 0.3, 0.8
+"""A path wins over all hosts with so many pages, that share of all pages, and so many hosts, if running text follows in at most the
 share ONE_SIDED of them, or if it stands in a run of menu entries in at least the share IN_RUN and running text comes before it in at most the share ONE_SIDED."""
 BOX_ENTRIES = 5
 """A box has at most so many entries below its heading."""
@@ -262,8 +262,8 @@ def path_votes(pages: DataFrame, text: str = "text", host: str = "source") -> Da
 def winning_paths(votes: DataFrame) -> DataFrame:
     """Paths that won: ``(host, path)``; host ``*`` stands for all hosts.
 
-    The winners of one host are at most ``lines of a page / MIN_SHARE``, so a host's list has a size bound
-    however many pages it has. Votes whose bodies are few count as that many: copies of one page don't elect.
+    The winners of one host are at most ``lines of a page / MIN_SHARE``, those over all hosts at most ``lines of a
+    page / ALL_SHARE``, so both lists have a size bound however many pages there are. Votes whose bodies are few count as that many: copies of one page don't elect.
     """
     votes = materialize(votes)
     hosts = votes.filter("path = 0").select("host", F.col("pages").alias("host_pages"))
@@ -273,7 +273,7 @@ def winning_paths(votes: DataFrame) -> DataFrame:
     every = every.filter(f"all_pages >= {MIN_PAGES} AND bit_count(all_bodies) >= {MIN_PAGES}")
     total = hosts.agg(F.sum("host_pages")).first()[0] or 0
     over = every.filter(
-        f"all_hosts >= {ALL_HOSTS} AND all_pages >= {ALL_PAGES} AND bit_count(all_bodies) >= {ALL_PAGES} "
+        f"all_hosts >= {ALL_HOSTS} AND all_pages >= {max(ALL_PAGES, ALL_SHARE * total)} AND bit_count(all_bodies) >= {ALL_PAGES} "
         f"AND (all_after <= {ONE_SIDED} * all_pages AND all_before >= 0.5 * all_pages OR all_run >= {IN_RUN} * all_pages AND all_before <= {ONE_SIDED} * all_pages)"
     )
     own = votes.filter(f"path <> 0 AND pages >= {MIN_PAGES} AND bit_count(bodies) >= {MIN_PAGES}")
@@ -510,15 +510,15 @@ def over_pages(pages: DataFrame, winners: DataFrame, fn, schema: str, id_column:
 
         return rows.mapInArrow(run, schema)
     # Many hosts: a host's list is bounded, so one row a host joins; AQE splits hosts that hold many pages.
-    over = winners.filter("host = '*'").agg(F.collect_list("path").alias("over"))
+    over = spark.sparkContext.broadcast(winners.filter("host = '*'").toArrow().column("path").to_pylist())
     own = winners.filter("host <> '*'").groupBy("host").agg(F.collect_list("path").alias("own"))
-    joined = rows.join(own, "host", "left").join(F.broadcast(over)).select("id", "text", "host", "own", "over")
+    joined = rows.join(own, "host", "left").select("id", "text", "host", "own")
 
     def run_joined(batches):
+        every = set(over.value)
         for b in batches:
             texts, hosts = b.column(1).to_pylist(), b.column(2).to_pylist()
-            own_, over_ = b.column(3).to_pylist(), b.column(4).to_pylist()
-            yield fn(b.column(0).to_pylist(), texts, [None if h is None else {*(o or ()), *v} for h, o, v in zip(hosts, own_, over_)])
+            yield fn(b.column(0).to_pylist(), texts, [None if h is None else every | set(o or ()) for h, o in zip(hosts, b.column(3).to_pylist())])
 
     return joined.mapInArrow(run_joined, schema)
 

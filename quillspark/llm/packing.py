@@ -88,12 +88,11 @@ def containers(counted: DataFrame, settings: list[tuple[str, int]], block: int =
     One row for each text, or piece of a text longer than the capacity:
     ``(setting_name, capacity, container_id, doc_id, piece_no, start_token, n_tokens)``.
     """
-    spark = counted.sparkSession
     counted = materialize(counted)
     blocks = max(1, -(-counted.count() // block))
-    given = spark.createDataFrame([(s, c) for s, c in settings], "setting_name string, capacity long")
+    given = F.array(*(F.struct(F.lit(s).alias("setting_name"), F.lit(c).cast("long").alias("capacity")) for s, c in settings))
     n, c = F.coalesce("n_tokens", F.lit(0)), F.col("capacity")
-    pieces = counted.join(F.broadcast(given)).withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / c) - 1, F.lit(0)).cast("int"))))
+    pieces = counted.select("doc_id", "n_tokens", F.inline(given)).withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / c) - 1, F.lit(0)).cast("int"))))
     start = F.col("piece_no") * c
     pieces = pieces.select("setting_name", "capacity", "doc_id", "piece_no", start.alias("start_token"), F.least(n - start, c).alias("n_tokens"))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)))
