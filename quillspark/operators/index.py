@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import codec
 from quillspark.functions.analysis import Analyzer, positions, standard
+from quillspark.runtime import broadcast_if_small
 from quillspark.sources.docstore import numbered
 
 FLUSH, MERGE = 1000, 8
@@ -33,7 +34,7 @@ def merged_once(segments: DataFrame) -> DataFrame:
     """Neighbours 2i and 2i+1 become segment i; ids of the second follow those of the first."""
     sizes = segments.groupBy("segment_id").agg(F.count("*").alias("_n"))
     first = sizes.filter("segment_id % 2 = 0").select((F.col("segment_id") + 1).alias("segment_id"), F.col("_n").alias("_shift"))
-    return segments.join(F.broadcast(first), "segment_id", "left").select(
+    return segments.join(broadcast_if_small(first, 1_000_000), "segment_id", "left").select(
         (F.col("segment_id") / 2).cast("int").alias("segment_id"), (F.col("local_id") + F.coalesce("_shift", F.lit(0))).alias("local_id"), *[c for c in segments.columns if c not in ("segment_id", "local_id")]
     )
 

@@ -94,8 +94,8 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, cut_every: in
 
 def page_rank_scores(ranks: DataFrame) -> DataFrame:
     """``(id, score)`` with score = (rank - least) / largest."""
-    m = ranks.agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
-    return ranks.join(F.broadcast(m)).select("id", ((F.col("rank") - F.col("low")) / F.col("high")).alias("score"))
+    m = ranks.agg(F.min("rank").alias("low"), F.max("rank").alias("high")).first()
+    return ranks.select("id", ((F.col("rank") - F.lit(m.low)) / F.lit(m.high)).alias("score"))
 
 
 def blended(scored: DataFrame, ranks: DataFrame, weight: float, k: int | None) -> DataFrame:
