@@ -80,11 +80,13 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, cut_every: in
     ranks = ids.withColumn("rank", F.lit(1.0))
     for k in range(1, iterations + 1):
         of = ranks.select(F.col("id").alias("src"), "rank")
-        sent = parts[0].join(of, "src").select("dst", "rank", "w")
+        sent = parts[0].join(of, "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("w")).alias("v"))
         if len(parts) > 1:
-            sent = sent.unionByName(parts[1].join(F.broadcast(of.join(known, "src", "left_semi")), "src").select("dst", "rank", "w"))
-        came = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
-        ranks = ids.join(came, "id", "left").select("id", (F.lit(1 - DAMPING) + F.lit(DAMPING) * F.coalesce("came", F.lit(0.0))).alias("rank"))
+            hub_ranks = F.broadcast(of.join(known, "src", "left_semi"))
+            sent = sent.unionByName(parts[1].join(hub_ranks, "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("w")).alias("v")))
+        # Every node sends itself 0, so nodes without incoming edges stay, without a join.
+        sent = sent.unionByName(ids.withColumn("v", F.lit(0.0)))
+        ranks = sent.groupBy("id").agg((F.lit(1 - DAMPING) + F.lit(DAMPING) * F.sum("v")).alias("rank"))
         if k % cut_every == 0 or k == iterations:
             ranks = materialize(ranks)
     for p in parts:

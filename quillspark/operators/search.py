@@ -76,13 +76,16 @@ def phrase(documents: DataFrame, words: list[str], analyzer: Analyzer = standard
     terms = query_terms(documents.sparkSession, words, analyzer, whole=True)
     if not terms:
         return _none(documents)
-    tokens = F.col("_tokens")
-    size = F.size(tokens)
-    # For each start, whether every word follows in its place; rows without the words go before positions are tried.
-    starts = F.sequence(F.lit(0), size - len(terms))
-    match = F.exists(starts, lambda i: _all(F.get(tokens, i + k) == t for k, t in enumerate(terms)))
-    rows = documents.select("doc_id", analyzer(F.col("text")).alias("_tokens"))
-    return rows.filter(F.size(F.array_intersect(tokens, F.array(*(F.lit(t) for t in sorted(set(terms)))))) == len(set(terms))).filter((size >= len(terms)) & match).select("doc_id")
+    once = sorted(set(terms))
+
+    # The tokens are bound to a variable, so a text is split once however many starts are tried; rows without all
+    # the words are told by one intersection.
+    def found(ts: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(ts) - len(terms))
+        there = (F.size(ts) >= len(terms)) & (F.size(F.array_intersect(ts, F.array(*map(F.lit, once)))) == len(once))
+        return F.when(there, F.exists(starts, lambda i: _all(F.get(ts, i + k) == t for k, t in enumerate(terms)))).otherwise(False)
+
+    return documents.filter(F.exists(F.array(analyzer(F.col("text"))), found)).select("doc_id")
 
 
 def posting_phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
