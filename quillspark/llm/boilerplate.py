@@ -42,7 +42,7 @@ BOX_HEADS = {form(x) for x in (
     "upcoming events", "follow us", "verwandte seiten", "nächste termine", "meistgelesen", "schnellzugriff",
     "in diesem bereich", "siehe auch", "folgen sie uns", "pages liées", "prochains rendez-vous", "les plus lus", "liens rapides",
     "dans cette rubrique", "voir aussi", "suivez-nous", "páginas relacionadas", "próximos actos", "lo más leído",
-    "enlaces rápidos", "en esta sección", "véase también", "síguenos", "关联", "関連ページ", "今後の行事", "よく読まれる記事",
+    "enlaces rápidos", "en esta sección", "véase también", "síguenos", "関連ページ", "今後の行事", "よく読まれる記事",
     "смотрите также", "ближайшие события", "быстрые ссылки", "популярное", "в этом разделе", "похожие страницы",
 )}
 # Words that mark consent notices.
@@ -60,7 +60,7 @@ TOOLS = _compiled(
     re.I,
 )
 # Openings of change dates.
-CHANGED = _compiled(r"(?:last (?:change|modified|update)|page updated on|this page was generated|stand:|dernière (?:mise|modification)|última (?:actualización|modificación)|последнее|обновлено|最終更新)", re.I)
+CHANGED = _compiled(r"(?:last (?:change|modified|update)|page updated on|this page was generated|stand:|zuletzt geändert|page modifiée|página modificada|dernière (?:mise|modification)|última (?:actualización|modificación)|последнее|обновлено|最終更新)", re.I)
 # Rights, telephone and address lines of footers.
 RIGHTS = _compiled(r"copyright\b|\(c\)|©|tel\.? ?[+:]|phone\b")
 RESERVED = tuple(map(form, ("all rights reserved", "alle rechte vorbehalten", "tous droits", "todos los derechos", "все права", "無断転載")))
