@@ -92,11 +92,12 @@ def doc_first_line_id(spark, d):
 
 @query()
 def wordbreak_tokens(spark, d):
-    """First words of every document without blanks, cut by the corpus's own word counts (tests compare with brute force)."""
-    words = analysis.punctuation(F.col("text"))
-    counts = docs(spark, d).select(F.explode(words).alias("word")).filter(F.length("word").between(2, 20)).groupBy("word").agg(F.count("*").alias("freq"))
-    breaker = wordbreak.word_break(spark, materialize(counts))
-    return docs(spark, d).select("doc_id", F.array_join(F.slice(words, 1, 6), "").alias("input")).withColumn("words", F.array_join(breaker("input"), " "))
+    """Every word of every document: its stretches between line ends and punctuation without blanks, cut by the corpus's
+    own counts of all words (tests compare with brute force). One row for each stretch; a document without words has one, empty."""
+    counts = docs(spark, d).select(F.explode(analysis.punctuation(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    breaker = wordbreak.word_break(spark, materialize(counts), fold_case=False)  # runs and dictionary are in lower case
+    rows = docs(spark, d).select("doc_id", F.posexplode_outer(wordbreak.runs(F.col("text"))).alias("run", "input")).fillna({"run": 0, "input": ""})
+    return rows.withColumn("words", F.array_join(breaker("input"), " "))
 
 
 # Document store

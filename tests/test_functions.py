@@ -122,3 +122,20 @@ def test_word_break(spark):
     df = spark.createDataFrame([(0, "ai"), (1, "CatDog"), (2, "tobeornottobe"), (3, ""), (4, "b"), (5, "cat.dog"), (6, "cat dog"), (7, None)], "i int, t string")
     got = [r.w for r in df.select("i", f("t").alias("w")).orderBy("i").collect()]
     assert [None if w is None else list(w) for w in got] == [["ai"], ["cat", "dog"], [], [], None, None, None, None]
+
+
+def test_word_break_of_whole_texts(spark, tmp_path):
+    from quillspark.plans import catalogue
+
+    many = [f"w{k}" for k in range(600)]
+    texts = ["1. One small ship sails over a wide sea at x\nand  back, to Port!", " ".join(many), "z" * 3000 + " " + "longestofallthewords" * 2, "İ ΑΣ\r\nŞ", "...", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(catalogue.wordbreak_tokens(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.run))
+    inputs = {i: [r.input for r in got if r.doc_id == i] for i in range(len(texts))}
+    assert inputs[0] == ["1", "onesmallshipsailsoverawideseaatx", "andback", "toport"]
+    assert "".join(inputs[1]) == "".join(many) and len(inputs[1]) == 3
+    assert inputs[2] == ["z" * 3000 + "longestofallthewords" * 2] and inputs[4] == inputs[5] == inputs[6] == [""]
+    assert all(r.words is not None for r in got)
+    assert [r.words for r in got if r.doc_id == 0] == ["1", "one small ship sails wide sea x", "back", "port"]
+    assert " ".join(r.words for r in got if r.doc_id == 1).split() == many
+    assert [r.words for r in got if r.doc_id == 2] == ["z" * 3000 + " " + "longestofallthewords" * 2]
