@@ -12,7 +12,8 @@
 4. ``verified``: candidates are checked exactly on their shingles.
 
 Chance of missing a pair: at similarity 0.6, (1 - 0.6**3)**28 = 0.1 % by shards and 0.01 % by the radius;
-at 0.7 below 0.001 %. Defined results: null, empty and short texts have no links; rows of equal id are one row.
+at 0.7 below 0.001 %. Defined results: null and empty texts, those without words and those under the least number of
+words have no links; a text of fewer words than a shingle is one shingle; rows of equal id are one row.
 """
 
 from __future__ import annotations
@@ -62,11 +63,12 @@ _hash = _Hashes().__getitem__
 
 
 def shingles(text: str, width: int, least_words: int) -> np.ndarray | None:
-    """Sorted distinct 64-bit hashes of ``width`` consecutive words of a text in its form; None for a text of fewer
-    than ``least_words``."""
+    """Sorted distinct 64-bit hashes of ``width`` consecutive words of a text in its form, or of all its words if they
+    are fewer; None for a text of fewer than ``least_words`` or none."""
     words = WORDS.findall(text.lower())
-    if len(words) < max(least_words, width):
+    if len(words) < max(least_words, 1):
         return None
+    width = min(width, len(words))
     h = np.fromiter(map(_hash, words), np.uint64, len(words))
     n = len(h) - width + 1
     out = h[:n] * _STEP[0]
@@ -316,7 +318,7 @@ def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def grouped(links: DataFrame, members: DataFrame) -> DataFrame:
-    """``(doc_id, group_id, n_links)``: the connected group of every document by its least id, and its class's links.
+    """``(doc_id, group_id, n_links)``: the connected group of every member by its least id, and its class's links.
 
     Labels travel by hash-to-min with pointer jumping over the links between representatives, so rounds grow
     with the logarithm of a group's diameter; each round's table is written to the shared folder.
@@ -334,3 +336,10 @@ def grouped(links: DataFrame, members: DataFrame) -> DataFrame:
     degree = edges.groupBy("a").agg(F.count("*").alias("n"))
     of = members.join(label.select(F.col("a").alias("rep"), "g"), "rep", "left").join(degree.select(F.col("a").alias("rep"), "n"), "rep", "left")
     return of.select("doc_id", F.coalesce("g", "rep").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def every_group(pages: DataFrame, links: DataFrame, members: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``grouped`` for every page: one without shingles is a group of its own without links."""
+    ids = pages.select(F.col(id_column).alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    of = ids.join(grouped(links, members), "doc_id", "left")
+    return of.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

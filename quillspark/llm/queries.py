@@ -25,8 +25,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    links, members = neardup.near_duplicates(table(spark, d, "documents", "doc_id", "text", "source"))
-    return neardup.grouped(links, members)
+    pages = table(spark, d, "documents", "doc_id", "text", "source")
+    return neardup.every_group(pages, *neardup.near_duplicates(pages))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -216,6 +216,23 @@ def test_no_near_duplicates(spark):
     assert links.count() == members.count() == neardup.grouped(links, members).count() == 0
 
 
+def test_every_document_has_a_group(spark):
+    copies = "one two three four five six seven eight"
+    texts = [None, "", " \n", "...", "Opening hours", "opening  hours!", "hours opening", "News", copies, copies, copies + " nine", "one two three four five"]
+    df = docs(spark, [(k, t, None) for k, t in enumerate(texts)])
+    got = {r.doc_id: (r.group_id, r.n_links) for r in neardup.every_group(df, *neardup.near_duplicates(df)).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (4, 0), 6: (6, 0), 7: (7, 0), 8: (8, 1), 9: (8, 1), 10: (8, 1), 11: (11, 0)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_groups_query_has_every_document(spark):
+    from quillspark.llm import queries as q
+
+    got = [r.doc_id for r in q.p3_groups(spark, "/root/testdata/sf0.001").collect()]
+    want = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert sorted(got) == sorted(want)
+
+
 # Problem 7
 
 
