@@ -10,7 +10,7 @@ in any case: so the tokens of a piece are those of the text, but for the first w
 inside it; that word alone is measured again, and ``n_tokens`` is what encoding the piece gives.
 
 Defined results: null, empty and fitting texts have no pieces; the pieces without their overlaps, joined, are
-the text; a stretch without any boundary that is longer than the limit is cut between characters.
+the text; a stretch without any boundary that is longer than the limit is cut between characters, and it alone.
 """
 
 from __future__ import annotations
@@ -110,19 +110,18 @@ class Cutter:
             made = self._balanced(count, capacity, overlap)
             if made:
                 return made
-            if made is not None:
-                break  # a stretch without boundaries: more pieces do not help
-        return self._greedy(capacity, overlap)
+        return self._balanced(None, capacity, overlap)
 
-    def _balanced(self, count: int, capacity: int, overlap: int) -> list[tuple[int, int, int]] | None:
-        """Pieces around equal targets; None if the limit fails, empty if a stretch has no boundary at all."""
+    def _balanced(self, count: int | None, capacity: int, overlap: int) -> list[tuple[int, int, int]] | None:
+        """Pieces around equal targets; None if ``count`` of them cannot keep the limit. Without a count, each target is
+        that of the least number of pieces for the rest."""
         out: list[tuple[int, int, int]] = []
         s, e = 0, 0
         while True:
             head = self._head(s)
             if self.n - s + head <= capacity:
                 return [*out, (s, self.n, self.n - s + head)]
-            left = count - len(out)
+            left = count - len(out) if count else max(2, -(-(self.n - s - overlap) // (capacity - overlap)))
             if left < 2:
                 return None
             length = (self.n - s + (left - 1) * overlap) / left
@@ -131,37 +130,23 @@ class Cutter:
             cut = self._between(max(low, s + length - near), min(high, s + length + near), s + length)
             if cut is None:
                 cut = self._between(low, high, s + length)
-                if cut is None:
-                    return []
-            out.append((s, cut, cut - s + head))
-            e, s = cut, self._start(cut, overlap)
-
-    def _greedy(self, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
-        """Pieces in order of the text, each cut at the strongest boundary of its last part, or else between characters."""
-        out: list[tuple[int, int, int]] = []
-        s, e = 0, 0
-        while True:
-            head = self._head(s)
-            if self.n - s + head <= capacity:
-                return [*out, (s, self.n, self.n - s + head)]
-            low, high = max(e, s + overlap) + 1, s + capacity - head
-            cut = self._between(max(low, high - 2 * NEAR * capacity), high, high)
             if cut is None:
-                cut = self._between(low, high, high)
-            if cut is not None:
-                size = cut - s + head
+                cut, size = self._within(s, e, max(low, min(high, int(s + length))), capacity)
             else:
-                cut = max(high, low)
-                while True:
-                    while not self.whole[cut] and cut > e + 1:
-                        cut -= 1
-                    size = len(self.v.ids(self.text[self.char[s] : self.char[cut]]))
-                    if size <= capacity or cut <= e + 1:
-                        break
-                    cut = max(e + 1, cut - (size - capacity))
+                size = cut - s + head
             out.append((s, cut, size))
             e, s = cut, self._start(cut, overlap)
 
+    def _within(self, s: int, e: int, cut: int, capacity: int) -> tuple[int, int]:
+        """The last end between characters up to ``cut`` and after ``e`` that keeps the limit, and the piece's tokens."""
+        while True:
+            while not self.whole[cut] and cut > e + 1:
+                cut -= 1
+            size = len(self.v.ids(self.text[self.char[s] : self.char[cut]]))
+            if size <= capacity or cut <= e + 1:
+                return cut, size
+            cut = max(e + 1, cut - (size - capacity))
+
 
 def split(documents: DataFrame, limits: DataFrame, prefix: str = "cut_", folder: str = FOLDER, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of every text longer than a ``prefix`` capacity of ``limits``.

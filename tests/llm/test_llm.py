@@ -381,6 +381,22 @@ def test_cuts_are_at_sentence_ends_where_there_are_any(ranks):
         assert all(t[c.char[e] - 1] in ".?!" for _, e, _ in c.pieces(capacity, 16)[:-1])
 
 
+@needs_ranks
+def test_only_the_stretch_without_boundaries_is_cut_within(ranks):
+    rng = random.Random(14)
+    stretch = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1500))
+    for k in range(40, 64, 2):
+        before = prose(rng, 60)
+        t = before + stretch + " " + prose(rng, k)
+        c = splitting.Cutter(t, ranks.ids(t), ranks)
+        pieces = c.pieces(256, 32)
+        ends = [int(c.char[e]) for _, e, _ in pieces[:-1]]
+        outside = [p for p in ends if not len(before) <= p < len(before) + len(stretch)]
+        assert len(outside) < len(ends) and outside and all(t[p].isspace() for p in outside)
+        assert all(n == len(ranks.ids(t[c.char[s] : c.char[e]])) <= 256 for s, e, n in pieces)
+        assert pieces[-1][1] - pieces[-1][0] > 150, k  # balanced behind the stretch too, no small rest
+
+
 @needs_ranks
 def test_split_column(spark):
     limits = spark.createDataFrame([("cut_a", "byte_bpe_50k", 16, 4), ("cut_b", "byte_bpe_50k", 40, None), ("fill_a", "byte_bpe_50k", 9, None)], "setting_name string, tokenizer string, capacity int, overlap int")
