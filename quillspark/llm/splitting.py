@@ -81,14 +81,14 @@ class Cutter:
         else:
             self.cuts, self.strong = [], []
 
-    def _head(self, s: int) -> int:
-        """By how many tokens a piece from token ``s`` differs from the text's own tokens."""
+    def _head(self, s: int, capacity: int) -> int:
+        """By how many tokens a piece from token ``s`` differs from the text's own tokens; of a stretch that no piece can
+        hold, by its beginning."""
         k = bisect_left(self.cuts, s)
         if s == 0 or (k < len(self.cuts) and self.cuts[k] == s):
             return 0
         e = self.cuts[k] if k < len(self.cuts) else self.n
-        if e - s > 4096:
-            e = s + 4096
+        e = min(e, s + max(4096, 2 * capacity))
         return len(self.v.ids(self.text[self.char[s] : self.char[e]])) - (e - s)
 
     def _start(self, e: int, overlap: int) -> int:
@@ -118,7 +118,7 @@ class Cutter:
         out: list[tuple[int, int, int]] = []
         s, e = 0, 0
         while True:
-            head = self._head(s)
+            head = self._head(s, capacity)
             if self.n - s + head <= capacity:
                 return [*out, (s, self.n, self.n - s + head)]
             left = count - len(out) if count else max(2, -(-(self.n - s - overlap) // (capacity - overlap)))

@@ -397,6 +397,20 @@ def test_only_the_stretch_without_boundaries_is_cut_within(ranks):
         assert pieces[-1][1] - pieces[-1][0] > 150, k  # balanced behind the stretch too, no small rest
 
 
+@needs_ranks
+def test_token_counts_of_pieces_with_long_stretches(ranks, monkeypatch):
+    rng = random.Random(15)
+    t = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))
+    ids = ranks.ids(t)
+    asked = []
+    monkeypatch.setattr(ranks, "ids", lambda x, f=ranks.ids: asked.append(x) or f(x))
+    c = splitting.Cutter(t, ids, ranks)
+    capacity = len(ids) - 1500
+    pieces = c.pieces(capacity, 100)
+    assert len(pieces) == 2 and t[c.char[pieces[1][0]] :] in asked  # the last piece is counted whole
+    assert all(n == len(ranks.ids(t[c.char[s] : c.char[e]])) <= capacity for s, e, n in pieces)
+
+
 @needs_ranks
 def test_split_column(spark):
     limits = spark.createDataFrame([("cut_a", "byte_bpe_50k", 16, 4), ("cut_b", "byte_bpe_50k", 40, None), ("fill_a", "byte_bpe_50k", 9, None)], "setting_name string, tokenizer string, capacity int, overlap int")
