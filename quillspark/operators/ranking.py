@@ -104,3 +104,27 @@ def blended(scored: DataFrame, ranks: DataFrame, weight: float, k: int | None) -
     """TF-IDF plus ``weight`` times the page's rank score; a document without a rank has 0 for it."""
     both = scored.join(ranks.select(F.col("id").alias("doc_id"), F.col("score").alias("_pr")), "doc_id", "left")
     return top(both.select("doc_id", (F.col("score") + F.lit(float(weight)) * F.coalesce("_pr", F.lit(0.0))).alias("score")), k)
+
+
+def ranked_queries(documents: DataFrame, queries: DataFrame, ranks: DataFrame, analyzer: Analyzer = standard, default_k: int = 5) -> DataFrame:
+    """``(query_id, doc_id, score)``: the first ``top_k`` documents of every row of ``queries(query_id, terms, top_k,
+    page_rank_weight)`` by the blended score to six places, then id; null: ``default_k`` and 1.
+
+    The documents are read once for all queries; only tokens that some query has leave the scan.
+    """
+    words = queries.select("query_id", F.explode("terms").alias("_w")).select("query_id", F.get(analyzer(F.col("_w")), F.lit(0)).alias("term"))
+    wanted = materialize(words.filter("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("_n")))
+    terms = broadcast_if_small(wanted.select("term").distinct(), 500_000)
+    tokens = documents.select("doc_id", F.explode(analyzer(F.col("text"))).alias("term"))
+    tf = materialize(tokens.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("_tf")))
+    idf = tf.groupBy("term").agg(F.log10(F.lit(documents.count()) / F.count("*")).alias("_idf"))
+    weights = materialize(wanted.join(idf, "term"))
+    parts = tf.join(broadcast_if_small(weights, 500_000), "term").withColumn("_v", F.col("_tf") * F.col("_idf"))
+    sums = parts.groupBy("query_id", "doc_id").agg(F.sum(F.col("_v") * F.col("_n") * F.col("_idf")).alias("_dot"), F.sum(F.col("_v") * F.col("_v")).alias("_square"))
+    scored = sums.select("query_id", "doc_id", F.when(F.col("_square") > 0, F.col("_dot") / F.sqrt("_square")).otherwise(0.0).alias("score"))
+    asked = queries.select("query_id", F.coalesce("top_k", F.lit(default_k)).alias("_k"), F.coalesce("page_rank_weight", F.lit(1.0)).alias("_weight"))
+    both = scored.join(ranks.select(F.col("id").alias("doc_id"), F.col("score").alias("_pr")), "doc_id", "left").join(broadcast_if_small(asked, 500_000), "query_id")
+    both = both.withColumn("score", F.round(F.col("score") + F.col("_weight") * F.coalesce("_pr", F.lit(0.0)), 6))
+    most = asked.agg(F.max("_k")).first()[0] or 0  # a fixed bound lets each task keep the first rows of a query only
+    first = both.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("_rn") <= most)
+    return first.filter(F.col("_rn") <= F.col("_k")).select("query_id", "doc_id", "score")

@@ -382,6 +382,23 @@ def search_blended_w0(spark, d):
     return _blended(spark, d, 0.0)
 
 
+RANKED_QUERIES = RANK.replace("WITH RECURSIVE ", f"""WITH RECURSIVE {TOK},
+q AS (SELECT query_id, term, count(*) AS n FROM (SELECT query_id, ({KEPT})[1] AS term FROM (SELECT query_id, unnest(terms) AS text FROM search_queries)) WHERE term IS NOT NULL GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+idf AS (SELECT term, log10((SELECT count(*) FROM documents) / count(*)) AS idf FROM tf GROUP BY term),
+scored AS (SELECT query_id, doc_id, CASE WHEN sum(tf * idf * tf * idf) > 0 THEN sum(tf * idf * q.n * idf) / sqrt(sum(tf * idf * tf * idf)) ELSE 0.0 END AS score FROM tf JOIN idf USING (term) JOIN q USING (term) GROUP BY ALL),
+""") + f"""SELECT query_id, doc_id, score FROM (
+  SELECT query_id, doc_id, top_k, round(scored.score + coalesce(page_rank_weight, 1) * coalesce(p.score, 0), 6) AS score
+  FROM scored JOIN search_queries USING (query_id) LEFT JOIN ({SCORES}) p ON p.id = doc_id
+) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= coalesce(top_k, 5)"""
+
+
+@query(RANKED_QUERIES)
+def search_queries_blended(spark, d):
+    """The first documents of every row of search_queries, with its own number and weight."""
+    return ranking.ranked_queries(docs(spark, d), table(spark, d, "search_queries"), ranking.page_rank_scores(_ranks(spark, d)))
+
+
 # Codec
 
 GAP = "list_transform(range(1, len(l) + 1), lambda i: l[i] - CASE WHEN i = 1 THEN 0 ELSE l[i - 1] END)"

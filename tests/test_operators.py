@@ -181,3 +181,17 @@ def test_cascade_inherits(spark):
     assert got == [
         ("leaves", "node", "2024-05", "inherited", 1), ("leaves", "node", "unknown", "direct", 1), ("nodes", "parent", "unknown", "direct", 1), ("nodes", "parent", "unknown", "inherited", 2),
     ]
+
+
+def test_ranked_queries_agree_with_one_query_each(spark):
+    texts = ["cat dog cat", "dog bird", "cat", "bird bird fish", None, "", "dog cat bird"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranks = spark.createDataFrame([(0, 0.1), (1, 0.9), (6, 0.4)], "id long, score double")
+    rows = [(1, ["cat", "cat", "dog"], None, None), (2, ["Bird"], 2, 0.0), (3, ["the", "fish", None], 3, 2.0), (4, [], 5, 1.0), (5, None, 5, 1.0), (6, ["dog"], 0, 1.0)]
+    queries = spark.createDataFrame(rows, "query_id long, terms array<string>, top_k int, page_rank_weight double")
+    got = {(r.query_id, r.doc_id, r.score) for r in ranking.ranked_queries(documents, queries, ranks).collect()}
+    want = set()
+    for i, terms, k, w in rows:
+        one = ranking.blended(ranking.tfidf(documents, [t for t in terms or [] if t]), ranks, 1.0 if w is None else w, 5 if k is None else k)
+        want |= {(i, r.doc_id, round(r.score, 6)) for r in one.collect()}
+    assert got == want and {x[0] for x in got} == {1, 2, 3}
