@@ -4,12 +4,17 @@ A page here is lines without tags, so a container's generalised path is read off
 stands in (before, between or after the running text), its kind of entry (numbered, bulleted, plain, a row
 with a separator) and the line's own words with dates and digits generalised. Three steps:
 
-1. ``path_votes``: every page scores its lines; short lines vote, per host, for their generalised path.
-   Batches combine their votes before anything is shuffled; a vote is a 64-bit key and four counts.
-2. ``winning_paths``: a path wins on a host when enough of its pages have it and clearly more than pages of
-   other hosts do, or over all hosts when it never has running text on its far side.
+1. ``path_votes``: every page scores its lines; short lines, entries of rows and first parts of longer lines vote, per
+   host, for their generalised path, with what stands above and below them. Batches combine their votes before anything is
+   shuffled; a vote is a 64-bit key and six counts.
+2. ``winning_paths``: a path wins on a host when enough of its pages have it and clearly more than pages of other hosts do;
+   over all hosts as an edge of pages when running text stands on one side of it only, as the heading of a box when entries
+   follow it nearly always, as a notice when lines of two or more parts open with it on many unlike pages.
 3. ``extract``: pages are read again with the winners of their host, and containers are rebuilt: menus, path
-   lines, consent notices, boxes with their entries, tool and sharing lines, change dates, footers.
+   lines, notices, boxes with their entries, tool and sharing lines, change dates, footers.
+
+No word of any language is known beforehand: what a line means is left to the votes. A box has at most ``BOX_ENTRIES``
+entries that are no winners themselves.
 
 Defined results: null, empty and blank texts give no lines; the only line of a page is main text; a row whose
 source is null or names no host (no dot) is no web page and is main text throughout; equal rows give equal
@@ -31,59 +36,34 @@ from quillspark.llm.textform import form
 from quillspark.runtime import materialize, small
 
 
-def _compiled(pattern: str, flags: int = 0) -> re.Pattern:
-    """Patterns meet texts in their form, so look-alike letters in them take it too."""
-    return re.compile(form(pattern), flags)
-
-
-# Headings of boxes beside the text, in the languages of the crawl.
-BOX_HEADS = {form(x) for x in (
-    "related pages", "latest news", "see also", "most read", "quick links", "in this section", "on this site",
-    "upcoming events", "follow us", "verwandte seiten", "nächste termine", "meistgelesen", "schnellzugriff",
-    "in diesem bereich", "siehe auch", "folgen sie uns", "pages liées", "prochains rendez-vous", "les plus lus", "liens rapides",
-    "dans cette rubrique", "voir aussi", "suivez-nous", "páginas relacionadas", "próximos actos", "lo más leído",
-    "enlaces rápidos", "en esta sección", "véase también", "síguenos", "関連ページ", "今後の行事", "よく読まれる記事",
-    "смотрите также", "ближайшие события", "быстрые ссылки", "популярное", "в этом разделе", "похожие страницы",
-)}
-# Words that mark consent notices.
-CONSENT = _compiled(
-    r"(?:use|on|set|verwenden|speichert|setzen wir|dépose des|utilisons des|guarda|usamos|emplean) cookies\b|^cookies on \S+: |enregistrent des traceurs|"
-    r"stores small files on your device|файлы cookie|クッキーを使",
-    re.I,
-)
-# Words of sharing, print, feedback, counter and skip lines; whole line.
-TOOLS = _compiled(
-    r"(?:tell a friend|share|save|mail|print|print this page|back to top|subscribe to our newsletter|was this page helpful\?(?: yes)?|yes|no|"
-    r"skip to (?:main )?content|menu|search|log ?in|register|\d+ visitors this week|teilen|drucken|seite drucken|nach oben|"
-    r"zum inhalt springen|partager|imprimer|haut de page|aller au contenu|compartir|imprimir|volver arriba|ir al contenido|"
-    r"печать|наверх|поделиться|印刷|共有|ページの先頭へ|本文へ|yes / no)",
-    re.I,
-)
-# Openings of change dates.
-CHANGED = _compiled(r"(?:last (?:change|modified|update)|page updated on|this page was generated|stand:|zuletzt geändert|page modifiée|página modificada|dernière (?:mise|modification)|última (?:actualización|modificación)|последнее|обновлено|最終更新)", re.I)
-# Rights, telephone and address lines of footers.
-RIGHTS = _compiled(r"copyright\b|\(c\)|©|tel\.? ?[+:]|phone\b")
-RESERVED = tuple(map(form, ("all rights reserved", "alle rechte vorbehalten", "tous droits", "todos los derechos", "все права", "無断転載")))
-ADDRESS = re.compile(r"^\d+ [^\W\d_]+ (?:street|road|lane|way|square|avenue|drive), [A-Z]\d+$", re.I)
 _DATE = re.compile(r"\d+ [^\W\d_]+ (?:19|20)\d\d")
 DATED = re.compile(r"^\d{1,2} [A-Z]\w+ \d{4}: ")
-HERE = _compiled(r"^(?:you are here|sie sind hier|vous êtes ici|está aquí|вы здесь|現在地)\s*[:：]\s*", re.I)
-
 MARK = re.compile(r"^(?:(\d{1,2})[.)]|([*•·\-–]))\s+")
 SEPARATOR = re.compile(r" (?:\||·|::|»|>|/|-) |  +")
 _DIGITS = re.compile(r"\d+")
 STOP = ".?!。？！…"
 LONG = 72
 """A line of at least so many characters, or one with sentence marks, is running text."""
+PROSE = 200
+"""A line has running text before or after it if so many bytes of running text stand on that side."""
 MIN_PAGES, MIN_SHARE, OVER_OTHERS = 3, 0.03, 2.5
 """A host path wins with so many different pages, that share of the host's pages and that multiple of its share elsewhere."""
-DIFFERENT = 0.5
+DIFFERENT = 0.4
 """Of the first 32 pages with a host path, so large a share must have different bodies."""
-ALL_PAGES, ALL_SHARE, ALL_HOSTS, ONE_SIDED, IN_RUN = 8, 1e-4, 3, 0.3, 0.8
-"""A path wins over all hosts with so many pages, that share of all pages, and so many hosts, if running text follows in at most the
-share ONE_SIDED of them, or if it stands in a run of menu entries in at least the share IN_RUN and running text comes before it in at most the share ONE_SIDED."""
+ALL_PAGES, ALL_SHARE, ALL_HOSTS = 8, 2e-4, 3
+"""A path may win over all hosts with so many pages, that share of all pages, and so many hosts."""
+ONE_SIDED, IN_RUN, FOLLOWED = 0.3, 0.8, 0.9
+"""It wins as an edge of pages if at most the share ONE_SIDED of its pages have running text on its far side (above the text also:
+if at least the share IN_RUN of them continue with short lines), and as the heading of a box if at least the share FOLLOWED of
+them have two or more entries right below it."""
+ABOVE, BELOW, HEAD, NOTICE = 1, 2, 3, 4
+"""Kinds of winners: edges above and below the text, headings of boxes, first parts of notices; 0 for a path that wins on its host only."""
+NOTICE_SIZE, NOTICE_PART, NOTICE_SHARE = 22, 12, 0.25
+"""A notice is a line of two or more parts and so many bytes, whose first part, which has won, has so many bytes when dates are
+levelled and at least that share of the line."""
 BOX_ENTRIES = 5
-"""A box has at most so many entries below its heading."""
+"""A box has at most so many entries below its heading; a parameter of the method, as nothing but the count tells the last entry
+from a title or list of the page's own right below it."""
 RUN = 3
 """So many short lines of one kind in a row are a list that may be a menu."""
 
@@ -95,61 +75,74 @@ WEB = r"\."
 
 
 def _key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    """Paths of lines and entries are odd, those of first parts even."""
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) | 1) - (1 << 63)
 
 
 class Line:
     """What a line shows by itself."""
 
-    __slots__ = ("text", "mark", "_cells", "long", "sentence", "low", "_key", "short", "_cue")
+    __slots__ = ("text", "mark", "_cells", "long", "sentence", "low", "_key", "_first", "short", "remark")
 
     def __init__(self, text: str):
         m = MARK.match(text) if text[0] in "0123456789*•·-–" else None
         self.mark = "" if m is None else "1" if m[1] else "*"
         bare = (text[m.end() :] or text) if m else text
         self.text = bare
-        self.sentence = bare[-1] in STOP or ". " in bare or "? " in bare or "! " in bare or "。" in bare
+        parts = ". " in bare or "? " in bare or "! " in bare or "。" in bare[:-1]
+        self.sentence = parts or bare[-1] in STOP
+        self.remark = self.sentence and not parts
         self.long = len(bare) >= LONG or self.sentence
         self.short = len(bare) <= 32 and not self.sentence
         self.low = bare.lower()
-        self._cells = self._key = self._cue = None
+        self._cells = self._key = self._first = None
 
     def cells(self) -> list[str]:
         """The entries of a row, or the line as its only one."""
         if self._cells is None:
             low = self.low
-            if " " in low and len(low) < 400 and SEPARATOR.search(low):
+            if " " in low and SEPARATOR.search(low):
                 self._cells = [c for c in SEPARATOR.split(low) if c]
             else:
                 self._cells = [low]
         return self._cells
 
+    def size(self) -> int:
+        """Bytes, of which scripts that say more in a character have more."""
+        return len(self.text) if self.text.isascii() else len(self.text.encode("utf-8", "surrogatepass"))
+
     def key(self) -> int:
         """The generalised path of the line: its words with dates and digits levelled."""
         if self._key is None:
-            low = self.low
-            self._key = _key(_DIGITS.sub("0", _DATE.sub("D", low)) if _DIGITS.search(low) else low)
+            self._key = _key(_level(self.low))
         return self._key
 
-    def cue(self) -> str:
-        """The kind of container that the words alone give away, or an empty string."""
-        if self._cue is None:
-            t, low = self.text, self.low
-            cue = ""
-            if len(t) <= 260:
-                if ("cookie" in low or "small files" in low or "traceurs" in low or "クッキー" in low) and CONSENT.search(t):
-                    cue = "consent"
-                elif len(t) <= (45 if t[0].islower() else 130):
-                    if RIGHTS.match(low) or (t[0].isdigit() and ADDRESS.match(t)) or any(w in low for w in RESERVED):
-                        cue = "foot"
-                    elif len(t) <= 70 and CHANGED.match(low) and _DIGITS.search(t):
-                        cue = "changed"
-                    elif low in BOX_HEADS or (len(self.cells()) > 1 and self.cells()[0] in BOX_HEADS):
-                        cue = "box"
-                    elif len(t) <= 60 and (TOOLS.fullmatch(low) or all(TOOLS.fullmatch(c) for c in self.cells())):
-                        cue = "tool"
-            self._cue = cue
-        return self._cue
+    def first(self) -> int:
+        """The generalised path of the line's first part, up to a sentence mark, dash, bracket or colon; 0 if the line can be no notice."""
+        if self._first is None:
+            self._first = 0
+            low = self.low
+            if len(low) >= NOTICE_SIZE or self.size() >= NOTICE_SIZE:
+                m = _PART.search(low)
+                if m is not None and m.start() >= NOTICE_SHARE * len(low) and m.end() < len(low):
+                    part = _level(low[: m.start()])
+                    if len(part.encode("utf-8", "surrogatepass")) >= NOTICE_PART:
+                        self._first = _key(part) - 1
+        return self._first
+
+    def plain(self) -> bool:
+        return _DIGITS.search(self.low) is None
+
+
+_PART = re.compile(r"[.!?](?= |$)|[。！？]|(?<=...) (?=[\[|–-])|: ")
+_HOST = re.compile(r"\w[\w-]*(?:\.[\w-]+)+")
+
+
+def _level(low: str) -> str:
+    """``low`` with dates, numbers and host names levelled."""
+    if "." in low[:-1]:
+        low = _HOST.sub("H", low)
+    return _DIGITS.sub("0", _DATE.sub("D", low)) if _DIGITS.search(low) else low
 
 
 _SEEN: dict[str, Line] = {}
@@ -180,49 +173,83 @@ def lines_of(shown: str) -> list[Line | None]:
     return [_line(s) if (s := x.strip()) else None for x in shown.split("\n")]
 
 
+def _goes_on(x: Line, before: Line) -> bool:
+    """Whether ``x`` may go on with the paragraph of the line right above it."""
+    return x.text[0].islower() and not x.mark and len(before.text) >= 40 and before.text[-1] not in STOP
+
+
+def _enters(x: Line) -> bool:
+    return not x.sentence and len(x.text) <= 100 and not x.long
+
+
 def _votes(texts: Iterable[tuple[str, str]]) -> dict[tuple[str, int], list[int]]:
-    """(host, path) -> pages with it; of these, how many have running text before it, after it, how many have
-    it in a run of entries; and a bitmap of the bodies it came with, so that copies of a page count once."""
+    """(host, path) -> pages with it; of these, how many have running text before it, after it, how many have it in a run of
+    entries, how many have one and two entries right below it; and a bitmap of the bodies it came with, so that copies of a
+    page count once."""
     out: dict[tuple[str, int], list[int]] = {}
     for host, text in texts:
-        rows = [x for x in lines_of(_shown(text)) if x is not None]
-        n = len(rows)
+        every = lines_of(_shown(text))
+        at = [k for k, x in enumerate(every) if x is not None]
+        n = len(at)
         if n < 2:
             continue
-        body = [k for k, x in enumerate(rows) if x.long and not (x.sentence and len(x.text) < 45) and not x.cue()]
+        rows = [every[k] for k in at]
+        body = [k for k, x in enumerate(rows) if x.long and not (x.sentence and len(x.text) < 45)]
         first, last = (body[0], body[-1]) if body else (n, -1)
+        # From which line on, and up to which, PROSE bytes of running text stand above and below.
+        above, size = n, 0
+        for k in body:
+            size += rows[k].size()
+            if size >= PROSE:
+                above = k + 1
+                break
+        below, size = -1, 0
+        for k in reversed(body):
+            size += rows[k].size()
+            if size >= PROSE:
+                below = k - 1
+                break
         bit = 1 << (_body(" ".join([rows[k].low for k in body]) or text) & 63)
         seen = {0}
         add = seen.add
 
-        def vote(key: int, k: int, run: bool) -> None:
+        def vote(key: int, k: int, run: bool, one: bool, two: bool) -> None:
             add(key)
             v = out.get((host, key))
             if v is None:
-                v = out[(host, key)] = [0, 0, 0, 0, 0]
+                v = out[(host, key)] = [0, 0, 0, 0, 0, 0, 0]
             v[0] += 1
-            v[1] += first < k
-            v[2] += k < last
+            v[1] += k >= above
+            v[2] += k <= below
             v[3] += run
-            v[4] |= bit
+            v[4] += one
+            v[5] += two
+            v[6] |= bit
 
-        vote(0, 0, False)  # the page itself
+        vote(0, 0, False, False, False)  # the page itself
         start = 0  # of the run of short lines with one mark
         for k, x in enumerate(rows):
             if k and (not x.short or x.mark != rows[k - 1].mark or not rows[k - 1].short):
                 start = k
-            if first < k < last and (len(x.text) > 50 if rows[k - 1].long or rows[k + 1].long else len(x.text) > LONG) and not x.cue():
-                continue  # inside running text
-            if len(x.text) > 200:
+            if k and at[k] - at[k - 1] == 1 and _goes_on(x, rows[k - 1]):
                 continue
-            run = x.short and (k - start >= RUN - 1 or (k + 2 < n and rows[k + 1].short and rows[k + 2].short and rows[k + 1].mark == rows[k + 2].mark == x.mark))
-            if x.key() not in seen:
-                vote(x.key(), k, run and _DIGITS.search(x.low) is None)
-            if (k < first or k > last) and len(c := x.cells()) > 1:
+            size = len(x.text)
+            if x.first() and x.first() not in seen:
+                vote(x.first(), k, False, False, False)
+            if first < k < last and size > 50 and (size > LONG or rows[k - 1].long or rows[k + 1].long):
+                continue  # inside running text
+            if (key := x.key()) not in seen:
+                plain = x.plain()
+                one = k + 1 < n and at[k + 1] - at[k] == 1 and _enters(rows[k + 1])
+                two = one and not x.sentence and plain and k + 2 < n and at[k + 2] - at[k] == 2 and _enters(rows[k + 2])
+                run = plain and x.short and (k - start >= RUN - 1 or (k + 2 < n and rows[k + 1].short and rows[k + 2].short and rows[k + 1].mark == rows[k + 2].mark == x.mark))
+                vote(key, k, run, one, two)
+            if (k < above or k > below) and not x.long and len(c := x.cells()) > 1:
                 row = len(c) >= RUN and not c[-1].isdigit()
-                for y in c:
+                for j, y in enumerate(c):
                     if 1 < len(y) <= 32 and (key := _key(y)) not in seen:
-                        vote(key, k, row)
+                        headed = j == 0 and len(c) > RUN
+                        vote(key, k, row, headed, headed)
     return out
 
 
@@ -238,8 +265,11 @@ def _body(text: str) -> int:
     return min(map(crc32, parts), default=crc32(data)) * 0x9E3779B1 >> 7
 
 
+COUNTS = ("pages", "before", "after", "run", "one", "two")
+
+
 def path_votes(pages: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """Votes of all pages: ``(host, path, pages, before, after, run, bodies)``; path 0 counts the pages of the host."""
+    """Votes of all pages: ``(host, path, pages, before, after, run, one, two, bodies)``; path 0 counts the pages of the host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,19 +278,19 @@ def path_votes(pages: DataFrame, text: str = "text", host: str = "source") -> Da
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
-                    *(pa.array([c[i] for c in counts], pa.int32()) for i in range(4)),
-                    pa.array([c[4] - (1 << 64) if c[4] >> 63 else c[4] for c in counts], pa.int64()),
+                    *(pa.array([c[i] for c in counts], pa.int32()) for i in range(6)),
+                    pa.array([c[6] - (1 << 64) if c[6] >> 63 else c[6] for c in counts], pa.int64()),
                 ],
-                names=["host", "path", "pages", "before", "after", "run", "bodies"],
+                names=["host", "path", *COUNTS, "bodies"],
             )
 
     votes = pages.select(F.col(host).alias("host"), F.col(text).alias("text")).filter(F.col("host").rlike(WEB) & F.col("text").isNotNull())
-    votes = votes.mapInArrow(run, "host string, path long, pages int, before int, after int, run int, bodies long")
-    return votes.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "before", "after", "run")), F.bit_or("bodies").alias("bodies"))
+    votes = votes.mapInArrow(run, "host string, path long, " + "".join(f"{c} int, " for c in COUNTS) + "bodies long")
+    return votes.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in COUNTS), F.bit_or("bodies").alias("bodies"))
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """Paths that won: ``(host, path)``; host ``*`` stands for all hosts.
+    """Paths that won: ``(host, path, kind)``; host ``*`` stands for all hosts.
 
     The winners of one host are at most ``lines of a page / MIN_SHARE``, those over all hosts at most ``lines of a
     page / ALL_SHARE``, so both lists have a size bound however many pages there are. Votes whose bodies are few count as that many: copies of one page don't elect.
@@ -268,42 +298,67 @@ def winning_paths(votes: DataFrame) -> DataFrame:
     votes = materialize(votes)
     hosts = votes.filter("path = 0").select("host", F.col("pages").alias("host_pages"))
     every = votes.filter("path <> 0").groupBy("path").agg(
-        *(F.sum(c).alias(f"all_{c}") for c in ("pages", "before", "after", "run")), F.count("*").alias("all_hosts"), F.bit_or("bodies").alias("all_bodies")
+        *(F.sum(c).alias(f"all_{c}") for c in COUNTS), F.count("*").alias("all_hosts"), F.bit_or("bodies").alias("all_bodies")
     )
     every = every.filter(f"all_pages >= {MIN_PAGES} AND bit_count(all_bodies) >= {MIN_PAGES}")
     total = hosts.agg(F.sum("host_pages")).first()[0] or 0
-    over = every.filter(
-        f"all_hosts >= {ALL_HOSTS} AND all_pages >= {max(ALL_PAGES, ALL_SHARE * total)} AND bit_count(all_bodies) >= {ALL_PAGES} "
-        f"AND (all_after <= {ONE_SIDED} * all_pages AND all_before >= 0.5 * all_pages OR all_run >= {IN_RUN} * all_pages AND all_before <= {ONE_SIDED} * all_pages)"
+    over = every.filter(f"all_hosts >= {ALL_HOSTS} AND all_pages >= {max(ALL_PAGES, ALL_SHARE * total)} AND bit_count(all_bodies) >= {ALL_PAGES}")
+    sides = "(all_before + all_after)"
+    kind = (
+        f"CASE WHEN path % 2 = 0 THEN {NOTICE} WHEN all_two >= {FOLLOWED} * all_pages AND all_before > {ONE_SIDED} * {sides} THEN {HEAD} "
+        f"WHEN all_after <= {ONE_SIDED} * {sides} AND {sides} >= {ONE_SIDED} * all_pages THEN {BELOW} "
+        f"WHEN all_before <= {ONE_SIDED} * {sides} AND greatest(all_run, all_one) >= {IN_RUN} * all_pages THEN {ABOVE} END"
     )
+    over = over.select(F.lit("*").alias("host"), "path", F.expr(kind).cast("int").alias("kind")).filter("kind IS NOT NULL")
     own = votes.filter(f"path <> 0 AND pages >= {MIN_PAGES} AND bit_count(bodies) >= {MIN_PAGES}")
-    own = own.join(every, "path").join(F.broadcast(hosts) if small(hosts, 500_000) else hosts, "host")
+    own = own.join(every.select("path", "all_pages"), "path").join(F.broadcast(hosts) if small(hosts, 500_000) else hosts, "host")
     bits = F.bit_count("bodies")
     # The number of different bodies behind a bitmap, as long as it is far from full.
     bodies = F.when(bits < 50, -64 * F.log(1 - bits / 64)).otherwise(F.col("pages"))
     share = F.least(F.col("pages"), bodies) / F.col("host_pages")
     elsewhere = (F.col("all_pages") - F.col("pages")) / F.greatest(F.lit(total) - F.col("host_pages"), F.lit(1))
     own = own.filter((share >= MIN_SHARE) & (share >= OVER_OTHERS * elsewhere) & (bits >= DIFFERENT * F.least(F.col("pages"), F.lit(32))))
-    return own.select("host", "path").unionByName(over.select(F.lit("*").alias("host"), "path"))
+    both = F.col("before") + F.col("after")
+    edge = (F.col("after") <= ONE_SIDED * both) & (both >= ONE_SIDED * F.col("pages"))
+    return own.select("host", "path", F.when(F.col("path") % 2 == 0, NOTICE).when(edge, BELOW).otherwise(0).alias("kind")).unionByName(over)
 
 
-def _entry(x: Line, following: Line | None, adjacent: bool) -> bool:
+def _entry(x: Line, following: Line | None, adjacent: bool, edge) -> bool:
     """Whether ``x`` looks like an entry of a box: a title or a menu word, maybe after a date."""
     t = x.text
-    if x.mark or x.sentence or len(t) > 100 or x.cue():
+    if x.mark or x.sentence or len(t) > 100 or edge(x):
         return False
     if DATED.match(t):
         rest = t[t.index(": ") + 2 :]
         return not rest[:1].islower()
     if len(t) > 80 or t[:1].islower() or t[:1].isdigit() or t[-1:].isdigit() or " | " in t:
         return False
-    if not adjacent or following is None or following.cue() or DATED.match(following.text):
+    if not adjacent or following is None or edge(following) or DATED.match(following.text):
         return True
     # A wrapped line of running text goes on in lower case, or in a sentence on a line about as wide.
     return not (len(t) >= 40 and following.text[:1].islower() or len(t) >= 52 and following.sentence and 45 <= len(following.text) <= len(t) + 15)
 
 
-def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]:
+class Won:
+    """The winners of one host and of all hosts, as a page of that host meets them."""
+
+    __slots__ = ("paths", "above", "below", "heads", "notices")
+
+    def __init__(self, paths=frozenset(), above=frozenset(), below=frozenset(), heads=frozenset(), notices=frozenset()):
+        self.paths, self.above, self.below, self.heads, self.notices = paths, above, below, heads, notices
+
+    def and_of(self, kinds: Iterable[tuple[int, int]]) -> Won:
+        """These winners and more ``(path, kind)``."""
+        by: tuple[set[int], ...] = (set(), set(), set(), set(), set())
+        for path, kind in kinds:
+            by[kind].add(path)
+        return Won(self.paths.union(*by[:NOTICE]), self.above | by[ABOVE], self.below | by[BELOW], self.heads | by[HEAD], self.notices | by[NOTICE])
+
+
+NONE_WON = Won()
+
+
+def other_lines(text: str, won: Won, shown: str | None = None) -> list[int]:
     """Numbers of the non-blank lines of a page that are not its main text; ``won`` are the winners of its host."""
     every = lines_of(_shown(text) if shown is None else shown)
     at = [k for k, x in enumerate(every) if x is not None]
@@ -312,50 +367,58 @@ def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]
         return []
     rows = [every[k] for k in at]
     off = [False] * n
+    paths, above, below, heads, notices = won.paths, won.above, won.below, won.heads, won.notices
+    prose = [False] * n
 
     def known(x: Line) -> bool:
         """A menu entry, site name or footer line by vote."""
-        return not (x.long and x.sentence) and x.key() in won
+        return not (x.long and x.sentence) and x.key() in paths
+
+    def edge(x: Line) -> bool:
+        """A line that by vote stands below the text only, or heads a box, or is a notice."""
+        k = x.key()
+        return k in heads or notice(x) or (k in below and not x.remark)
+
+    def notice(x: Line) -> bool:
+        return x.first() in notices
 
     def row(x: Line) -> bool:
         """A row of entries, most of them by vote."""
         c = x.cells()
-        return len(c) > 1 and 2 * sum(_key(y) in won or TOOLS.fullmatch(y) is not None for y in c) >= len(c)
+        return len(c) > 1 and 2 * sum(_key(y) in paths for y in c) >= len(c)
 
-    # Containers that their words give away, anywhere on the page; the path line tells the title.
+    # Containers by vote, anywhere on the page; the path line tells the title.
     title = None
     boxes = []
     content = False
-    if len(c := rows[0].cells()) > 1 and _key(c[0]) in won and any(rows[j].low == c[-1] for j in range(1, min(n, 16))):
+    if len(c := rows[0].cells()) > 1 and _key(c[0]) in paths and any(rows[j].low == c[-1] for j in range(1, min(n, 16))):
         off[0] = True  # the site's name and the title
     k = 0
     while k < n:
         x = rows[k]
-        cue = x.cue()
-        if cue == "box" and x.low in BOX_HEADS:
+        if x.key() in heads:
             off[k] = True
             boxes.append((k, content))
-            k += 1
-            continue
-        if cue:
+        elif notice(x) or (not x.remark and (x.key() in above or x.key() in below)):  # one plain sentence may be the page's own
             off[k] = True
-        elif not content and (m := HERE.match(x.text)) is not None:
-            off[k] = True
-            title = (SEPARATOR.split(x.low[m.end() :]) or [""])[-1]
-        elif not content and len(x.cells()) > 1 and not x.sentence:
-            c = x.cells()
-            if row(x) and not (x.key() in won):
+        elif len(x.cells()) > 1 and _key(x.cells()[0]) in heads:
+            off[k] = True  # a box in one row
+        elif not content and len(c := x.cells()) > 1:
+            lead = c[0][c[0].rfind(": ") + 2 :] if ": " in c[0] else c[0]  # a path line may open with a word of its own
+            if x.sentence and lead is c[0]:
+                pass
+            elif row(x) and not (x.key() in paths):
                 off[k] = True
-                if _key(c[-1]) not in won and _key(c[0]) in won:
+                if _key(c[-1]) not in paths and _key(lead) in paths:
                     title = c[-1]
-            elif _key(c[0]) in won and _key(c[-1]) not in won and (c[-1] == "page" or any(rows[j].low == c[-1] for j in range(k + 1, min(n, k + 14)))):
+            elif _key(lead) in paths and _key(c[-1]) not in paths and (lead is not c[0] or c[-1] == "page" or any(rows[j].low == c[-1] for j in range(k + 1, min(n, k + 14)))):
                 off[k] = True
                 title = c[-1]
         if x.long and not off[k] and not row(x):
-            content = True
+            prose[k] = content = True
         k += 1
 
-    body = [k for k, x in enumerate(rows) if x.long and not off[k]]
+    body = [k for k in range(n) if prose[k]]
     first, last = (body[0], body[-1]) if body else (n, -1)
 
     def menu_run(k: int) -> int:
@@ -381,7 +444,7 @@ def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]
         x = rows[k]
         if off[k]:
             if any(b == k for b, _ in boxes):
-                e = _box_end(rows, at, off, k, title, False, known)
+                e = _box_end(rows, at, off, k, title, False, known, edge)
                 for j in range(k, e):
                     off[j] = True
                 k = e
@@ -404,7 +467,7 @@ def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]
     k = n - 1
     while k > last:
         x = rows[k]
-        if off[k] or known(x) or row(x) or (x.short and not x.mark and k + 1 < n and rows[k + 1].cue() == "foot" and at[k + 1] - at[k] == 1 and _name(x)):
+        if off[k] or known(x) or row(x) or (x.short and not x.mark and k + 1 < n and off[k + 1] and any(c.isdigit() for c in rows[k + 1].text) and at[k + 1] - at[k] == 1 and _name(x)):
             off[k] = True
             k -= 1
         else:
@@ -412,7 +475,7 @@ def other_lines(text: str, won: set[int], shown: str | None = None) -> list[int]
 
     # Boxes within and below the text.
     for b, inside in boxes:
-        e = _box_end(rows, at, off, b, title, inside or any(not off[j] for j in range(b)), known)
+        e = _box_end(rows, at, off, b, title, inside or any(not off[j] for j in range(b)), known, edge)
         for j in range(b, e):
             off[j] = True
 
@@ -427,7 +490,7 @@ def _name(x: Line) -> bool:
     return x.text[:1].isupper() and len(x.text) <= 40 and all(w[:1].isupper() or w in ("of", "de", "für") for w in x.text.split())
 
 
-def _box_end(rows: list[Line], at: list[int], off: list[bool], b: int, title: str | None, content: bool, known) -> int:
+def _box_end(rows: list[Line], at: list[int], off: list[bool], b: int, title: str | None, content: bool, known, edge) -> int:
     """The row after the box whose heading is row ``b``.
 
     ``content``: whether a line of the page's own came before. If not, and no path line tells the title, an
@@ -439,11 +502,11 @@ def _box_end(rows: list[Line], at: list[int], off: list[bool], b: int, title: st
         x = rows[e]
         if title and x.low == title and not content:
             break
-        if off[e] and x.cue():
+        if off[e] and edge(x):
             break
         after = rows[e + 1] if e + 1 < n else None
         adjacent = after is not None and at[e + 1] - at[e] == 1
-        if not known(x) and not _entry(x, after, adjacent):
+        if not known(x) and not _entry(x, after, adjacent, edge):
             break
         if adjacent and not known(x) and not DATED.match(x.text) and any(c.isdigit() for c in x.text) and _listed(after):
             break  # the first of a list of the page's own
@@ -463,20 +526,23 @@ def _listed(x: Line | None) -> bool:
 
 
 class Winners:
-    """Winners by host, as the workers use them."""
-
-    def __init__(self, rows: Iterable[tuple[str, int]]):
-        self.by: dict[str, set[int]] = {}
-        for h, p in rows:
-            self.by.setdefault(h, set()).add(p)
-        self.all = self.by.pop("*", set())
+    """Winners by host, as the workers use them; what a host's pages meet is kept for a bounded number of hosts."""
 
-    def of(self, host: str) -> set[int]:
-        own = self.by.get(host)
-        return self.all if own is None else own | self.all
+    def __init__(self, rows: Iterable[tuple[str, int, int]]):
+        self.by: dict[str, list[tuple[int, int]]] = {}
+        for h, p, kind in rows:
+            self.by.setdefault(h, []).append((p, kind))
+        self.all = NONE_WON.and_of(self.by.pop("*", ()))
+        self.kept: dict[str, Won] = {}
 
-    def __len__(self) -> int:
-        return len(self.all) + sum(map(len, self.by.values()))
+    def of(self, host: str) -> Won:
+        won = self.kept.get(host)
+        if won is None:
+            if len(self.kept) > 2_000:
+                self.kept.clear()
+            own = self.by.get(host)
+            won = self.kept[host] = self.all if own is None else self.all.and_of(own)
+        return won
 
 
 BROADCAST_ROWS = 400_000
@@ -492,44 +558,47 @@ def over_pages(pages: DataFrame, winners: DataFrame, fn, schema: str, id_column:
     rows = pages.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.when(F.col(host).rlike(WEB), F.col(host)).alias("host"))
     if small(winners, BROADCAST_ROWS):
         won = winners.toArrow()
-        shared = spark.sparkContext.broadcast((won.column("host").to_pylist(), won.column("path").to_pylist()))
+        shared = spark.sparkContext.broadcast([won.column(c).to_pylist() for c in ("host", "path", "kind")])
 
         def run(batches):
             w = Winners(zip(*shared.value))
-            kept: dict[str, set[int]] = {}
-
-            def of(h):
-                if h not in kept:
-                    if len(kept) > 2_000:
-                        kept.clear()
-                    kept[h] = w.of(h)
-                return kept[h]
-
             for b in batches:
-                yield fn(b.column(0).to_pylist(), b.column(1).to_pylist(), [None if h is None else of(h) for h in b.column(2).to_pylist()])
+                yield fn(b.column(0).to_pylist(), b.column(1).to_pylist(), [None if h is None else w.of(h) for h in b.column(2).to_pylist()])
 
         return rows.mapInArrow(run, schema)
-    # Many hosts: a host's list is bounded, so one row a host joins; AQE splits hosts that hold many pages.
-    over = spark.sparkContext.broadcast(winners.filter("host = '*'").toArrow().column("path").to_pylist())
-    own = winners.filter("host <> '*'").groupBy("host").agg(F.collect_list("path").alias("own"))
-    joined = rows.join(own, "host", "left").select("id", "text", "host", "own")
+    # Many hosts: a host's list is bounded, so one row a host joins, and AQE splits hosts that hold many pages. Rows that are no
+    # web pages need no winners and stay where they are. The winners over all hosts are at most lines of a page / ALL_SHARE.
+    over = spark.sparkContext.broadcast([(r.path, r.kind) for r in winners.filter("host = '*'").select("path", "kind").collect()])
+    own = winners.filter("host <> '*'").groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("kind").alias("kinds"))
+    joined = rows.filter("host IS NOT NULL").join(own, "host", "left").select("id", "text", "host", "paths", "kinds")
 
     def run_joined(batches):
-        every = set(over.value)
+        every = NONE_WON.and_of(over.value)
+        kept: dict[str, Won] = {}
+        for b in batches:
+            hosts, wons = b.column(2).to_pylist(), []
+            for k, h in enumerate(hosts):
+                if h not in kept:
+                    if len(kept) > 2_000:
+                        kept.clear()
+                    kept[h] = every.and_of(zip(b.column(3)[k].as_py() or (), b.column(4)[k].as_py() or ()))
+                wons.append(kept[h])
+            yield fn(b.column(0).to_pylist(), b.column(1).to_pylist(), wons)
+
+    def run_others(batches):
         for b in batches:
-            texts, hosts = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield fn(b.column(0).to_pylist(), texts, [None if h is None else every | set(o or ()) for h, o in zip(hosts, b.column(3).to_pylist())])
+            yield fn(b.column(0).to_pylist(), b.column(1).to_pylist(), [None] * len(b))
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(run_joined, schema).unionByName(rows.filter("host IS NULL").mapInArrow(run_others, schema))
 
 
-def main_lines(text: str, won: set[int] | None) -> str:
+def main_lines(text: str, won: Won | None) -> str:
     """The main text of a page, its lines as they stand; ``won`` None: no web page."""
     off = set(other_lines(text, won)) if won is not None else ()
     return text if not off else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in off)
 
 
-def main_form(text: str, won: set[int] | None) -> str:
+def main_form(text: str, won: Won | None) -> str:
     """The main text of a page in its form."""
     shown = _shown(text)
     off = set(other_lines(text, won, shown)) if won is not None else ()

@@ -103,6 +103,38 @@ def test_boilerplate_of_made_up_sites(spark):
     assert len(main) == len(rows) + len(extra)
 
 
+def test_boilerplate_in_a_language_of_its_own(spark):
+    """No word of these pages is in any list; boxes, notices and remarks stand between paragraphs, in changing places."""
+    rng = random.Random(12)
+    syllables = "ka lo mi ren tu vas dop gil hem jor".split()
+
+    def word():
+        return "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+
+    def sentence():
+        return " ".join(word() for _ in range(12)).capitalize() + "."
+
+    heads, notices = ["Zubax merun", "Kolti azef"], ["Nos wexa frumpi por zintu. Akord | Nix", "Qesto wexa zazi frumpi - detali"]
+    tops, ends, remarks = ["Saltu al nuvo", "Fermu cit"], ["Stampu cit", "Modifa 3 Marto {y}"], ["Vi povas veni.", "Nenia pago."]
+    rows, truth = [], set()
+    for i in range(600):
+        host = f"h{i % 6}.example"
+        parts = [(x, True) for x in rng.sample(["Hejmo", "Homoj", "Kursoj", "Mapo", "Libroj"], 4)]
+        parts = ([(rng.choice(tops), True)] if i % 2 else []) + parts + [(f"{word()} {word()}".capitalize(), False)]
+        body = [[(sentence() + " " + sentence(), False)] for _ in range(5)]
+        if i % 5 < 2:
+            body.insert(rng.randint(1, 4), [(rng.choice(heads), True)] + [(f"{word()} {word()} {word()}".capitalize(), True) for _ in range(rng.randint(2, 4))])
+        if i % 5 == 3:
+            body.insert(rng.randint(1, 4), [(rng.choice(notices), True)])
+        if i % 7 == 0:
+            body.insert(rng.randint(1, 4), [(rng.choice(remarks), False)])
+        parts += [x for b in body for x in b] + [(rng.choice(ends).format(y=2000 + i % 20), True), (f"(c) {2000 + i % 9} Instituto h{i % 6}", True)]
+        rows.append((i, "\n".join(x for x, _ in parts), host))
+        truth |= {(i, k) for k, (_, off) in enumerate(parts) if off}
+    got = {(r.doc_id, r.line_no) for r in boilerplate.boilerplate_lines(docs(spark, rows)).collect()}
+    assert len(got & truth) / len(truth) > 0.98 and len(got & truth) / len(got) > 0.98
+
+
 def test_both_ways_to_bring_winners(spark, monkeypatch):
     rng = random.Random(4)
     df = docs(spark, [(k, t, "a.example" if k % 2 else "b.example") for k, (t, _) in enumerate(site(rng, "a.example", 40))] + [(99, "x\ny", None)])
