@@ -79,6 +79,10 @@ def _key(text: str) -> int:
     return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) | 1) - (1 << 63)
 
 
+ENDS = 144
+"""A longer line's path is so many characters of it, half of them at each end."""
+
+
 class Line:
     """What a line shows by itself."""
 
@@ -112,9 +116,10 @@ class Line:
         return len(self.text) if self.text.isascii() else len(self.text.encode("utf-8", "surrogatepass"))
 
     def key(self) -> int:
-        """The generalised path of the line: its words with dates and digits levelled."""
+        """The generalised path of the line: its words with dates and digits levelled; of a long one, those of its beginning and end."""
         if self._key is None:
-            self._key = _key(_level(self.low))
+            low = self.low
+            self._key = _key(_level(low if len(low) <= ENDS else low[: ENDS // 2] + "…" + low[-ENDS // 2 :]))
         return self._key
 
     def first(self) -> int:
@@ -140,7 +145,7 @@ _HOST = re.compile(r"\w[\w-]*(?:\.[\w-]+)+")
 
 def _level(low: str) -> str:
     """``low`` with dates, numbers and host names levelled."""
-    if "." in low[:-1]:
+    if (dots := low.count(".")) and dots > low.count(". ") + (low[-1] == "."):
         low = _HOST.sub("H", low)
     return _DIGITS.sub("0", _DATE.sub("D", low)) if _DIGITS.search(low) else low
 
@@ -150,7 +155,7 @@ _SEEN: dict[str, Line] = {}
 
 def _line(text: str) -> Line:
     """Short lines recur on page after page, so what they show is kept, for a bounded number of them."""
-    if len(text) > 90:
+    if len(text) > 60:
         return Line(text)
     x = _SEEN.get(text)
     if x is None:
@@ -396,7 +401,10 @@ def other_lines(text: str, won: Won, shown: str | None = None) -> list[int]:
     k = 0
     while k < n:
         x = rows[k]
-        if x.key() in heads:
+        if k and at[k] - at[k - 1] == 1 and _goes_on(x, rows[k - 1]):
+            prose[k] = x.long  # such lines do not vote
+            content = content or x.long
+        elif x.key() in heads:
             off[k] = True
             boxes.append((k, content))
         elif notice(x) or (not x.remark and (x.key() in above or x.key() in below)):  # one plain sentence may be the page's own
@@ -414,7 +422,7 @@ def other_lines(text: str, won: Won, shown: str | None = None) -> list[int]:
             elif _key(lead) in paths and _key(c[-1]) not in paths and (lead is not c[0] or c[-1] == "page" or any(rows[j].low == c[-1] for j in range(k + 1, min(n, k + 14)))):
                 off[k] = True
                 title = c[-1]
-        if x.long and not off[k] and not row(x):
+        if x.long and not prose[k] and not off[k] and not row(x):
             prose[k] = content = True
         k += 1
 
