@@ -1,45 +1,61 @@
 """Groups of near-duplicate texts by BK-trees over Hamming distance (problem 3).
 
-1. ``sketch``: each text's distinct runs of consecutive words are hashed; 84 least values under different
-   hash functions give 28 shard keys (three values each) and a 64-bit fingerprint (one bit of each of the first
-   64 values). Fingerprints of texts with similarity s differ in (1 - s) / 2 of their bits on average.
+1. ``sketch``: each text is read once. Its distinct runs of consecutive words are hashed; the least values under different
+   hash functions give shard keys (a few values each) and a fingerprint: two bits of each value, which for texts of similarity
+   s differ in (1 - s) / 2 of the bits on average and for unlike ones in half, behind a thermometer code of the logarithm of
+   the set's size, ``WEIGHT`` bits for each ``STEP``.
 2. Equal shingle sets are one class with one representative; only representatives are compared.
-3. ``shard_pairs``: a shard holds the representatives that agree in one shard key. Each shard is a BK-tree whose
-   children are keyed by their integer Hamming distance to the parent; a probe follows only edges within the
-   radius. The trees grow with the data, so they are sent to the tasks that hold a shard's probes, not to
-   every worker; a shard beyond ``TREE`` rows is cut into salted sub-trees, each probed by every block of the
-   shard in a task of its own, so no row and no link is dropped however many rows share a key.
-4. ``verified``: candidates are checked exactly on their shingles.
-
-Chance of missing a pair: at similarity 0.6, (1 - 0.6**3)**28 = 0.1 % by shards and 0.01 % by the radius;
-at 0.7 below 0.001 %. Defined results: null and empty texts, those without words and those under the least number of
-words have no links; a text of fewer words than a shingle is one shingle; rows of equal id are one row.
+3. ``shard_pairs``: a shard holds the representatives that agree in one shard key; shards of one go at once. Each shard is a
+   BK-tree whose children are keyed by their integer Hamming distance to the parent; a probe follows only edges within the
+   radius. The bits of least values alone lie too close together for the triangle inequality to exclude anything; the sizes
+   do not: on pages, a probe meets about a fifth of a tree at similarity 0.8 and two fifths at 0.6, little more than the
+   texts whose size allows the similarity at all. The trees grow with the data, so they are
+   sent to the tasks that hold a shard's probes, not to every worker; a shard beyond ``TREE`` rows is cut by size of the
+   shingle set and salt into sub-trees, each built once and probed by the blocks whose sizes allow the similarity.
+4. ``verified``: candidates are checked on the shingles that the sketch has stored.
+
+Chance of missing a pair at the threshold: ``LOSS`` by shards and 0.01 % by the radius, and less above it. With ``exact``
+the shards are the first shingles of each set instead, of which two sets of the similarity always share one, and the radius
+is the whole fingerprint: no pair is lost, for more rows (a share of 1 - similarity of all shingles in place of some 36 keys).
+Shingles are compared by 32 bits of their hashes: a pair of 300 shingles has one false agreement with a chance of 1 in 50,000.
+
+Defined results: null and empty texts, those without words and those under the least number of words have no links; a
+text of fewer words than a shingle is one shingle; rows of equal id are one row.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.boilerplate import host_winners, main_form, over_pages
 from quillspark.runtime import broadcast_if_small, materialize, small
 
-WORDS = re.compile(r"[^\W_]+")
-BANDS, ROWS, BITS = 28, 3, 64
+LOSS = 2e-4
+"""At the threshold, a pair may share no shard with this chance."""
+HASHES = 110
+"""At most so many least values are taken."""
+BITS_EACH = 2
 TREE = 2_000
 """A BK-tree holds at most so many fingerprints."""
+STEP, WEIGHT = 0.01, 100
+"""The size of a shingle set counts ``WEIGHT`` bits for each ``STEP`` of its logarithm."""
+PRINT_BITS = 224
+CHUNK = 200_000
+"""Texts are split into words together, up to so many characters."""
 _rng = np.random.default_rng(20240229)
-_MUL = (_rng.integers(1, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-_BAND = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
-_STEP = [np.uint64(x) for x in _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
-_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_MUL = (_rng.integers(1, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
+_STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = int(_rng.integers(1, 1 << 63)) * 2 + 1
+_TABLED = 0x30000
+_WORD = np.fromiter(map(str.isalnum, map(chr, range(_TABLED))), bool, _TABLED)
+"""Which characters are letters or digits."""
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,92 +65,161 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """Hashes of words; kept for a bounded number of them."""
+def shape(similarity: float) -> tuple[int, int]:
+    """``(keys, values of each)``: as many values as fit ``HASHES`` with enough keys that a pair of ``similarity`` shares
+    none with a chance of at most ``LOSS``."""
+    for rows in range(8, 1, -1):
+        agree = similarity**rows
+        keys = 1 if agree >= 1 else math.ceil(math.log(LOSS) / math.log1p(-agree))
+        if keys * rows <= HASHES:
+            return keys, rows
+    return HASHES, 1
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
+class _Powers:
+    """Powers of the base of word hashes and of its inverse, modulo 2**64."""
 
-_hash = _Hashes().__getitem__
-
-
-def shingles(text: str, width: int, least_words: int) -> np.ndarray | None:
-    """Sorted distinct 64-bit hashes of ``width`` consecutive words of a text in its form, or of all its words if they
-    are fewer; None for a text of fewer than ``least_words`` or none."""
-    words = WORDS.findall(text.lower())
-    if len(words) < max(least_words, 1):
-        return None
-    width = min(width, len(words))
-    h = np.fromiter(map(_hash, words), np.uint64, len(words))
-    n = len(h) - width + 1
-    out = h[:n] * _STEP[0]
-    for k in range(1, width):
-        out += h[k : k + n] * _STEP[k]
-    out = _mix(out)
-    out.sort()
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up), CHUNK)
+            self.up, self.down = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.up, self.down
+
+
+_powers = _Powers()
+
+
+def _words(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of the words of each text, maximal runs of letters and digits in lower case, in order."""
+    low = [t.lower() for t in texts]
+    code = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(code) + 2, bool)
+    if len(code) and code.max() >= _TABLED:
+        inside[1:-1] = [chr(c).isalnum() for c in code.tolist()]
+    else:
+        inside[1:-1] = _WORD[code]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    up, down = _powers(len(code) + 1)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)], out=sums[1:])
+    h = _mix((sums[ends] - sums[starts]) * down[starts])
+    cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in low]))
+    return np.split(h, cuts[:-1])
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def shingles(texts: list[str], width: int, least_words: int) -> list[np.ndarray | None]:
+    """For each text in its form: the sorted distinct 32-bit hashes of ``width`` consecutive words, or of all its words if
+    they are fewer; None for a text of fewer than ``least_words`` or none."""
+    out: list[np.ndarray | None] = []
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= CHUNK:
+            size += len(texts[end])
+            end += 1
+        for h in _words(texts[at:end]):
+            if len(h) < max(least_words, 1):
+                out.append(None)
+                continue
+            w = min(width, len(h))
+            n = len(h) - w + 1
+            mixed = h[:n] * _STEP[0]
+            for k in range(1, w):
+                mixed += h[k : k + n] * _STEP[k]
+            out.append(_distinct(_mix(mixed)))
+        at = end
+    return out
 
 
-def signature(sh: np.ndarray) -> np.ndarray:
+def signature(sh: np.ndarray, hashes: int) -> np.ndarray:
     """The least value of the shingles under each hash function."""
-    h = (sh >> np.uint64(32)).astype(np.uint32)
     least = None
-    for k in range(0, len(h), 8192):
-        m = (h[k : k + 8192] * _MUL + _ADD).min(axis=1)
+    for k in range(0, len(sh), 8192):
+        m = (sh[k : k + 8192] * _MUL[:hashes] + _ADD[:hashes]).min(axis=1)
         least = m if least is None else np.minimum(least, m)
     return least.astype(np.uint64)
 
 
-def _bands(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and shard keys of a batch of signatures, one row each."""
+def _keys(least: np.ndarray, sizes: list[int], keys: int, rows: int) -> tuple[list[bytes], np.ndarray]:
+    """Fingerprints, the steps of the size before the bits, and shard keys of a batch of signatures, one row each."""
     mixed = _mix(least + np.uint64(1))
-    fingerprints = (_POWERS * ((mixed[:, :BITS] >> np.uint64(17)) & np.uint64(1))).sum(axis=1, dtype=np.uint64)
-    t = mixed.reshape(len(mixed), BANDS, ROWS)
-    keys = _mix(t[:, :, 0] * _BAND + t[:, :, 1] * np.uint64(0x9E3779B97F4A7C15) + _mix(t[:, :, 2] + _BAND))
-    return fingerprints.view(np.int64), keys.view(np.int64)
+    bits = np.stack([(mixed >> np.uint64(17 + k)) & np.uint64(1) for k in range(BITS_EACH)], axis=2).astype(bool)
+    packed = np.packbits(bits.reshape(len(mixed), bits.shape[1] * BITS_EACH), axis=1)
+    prints = [int(math.log(n) / STEP).to_bytes(4, "big") + x.tobytes().rjust(PRINT_BITS // 8, b"\0") for n, x in zip(sizes, packed)]
+    t = mixed[:, : keys * rows].reshape(len(mixed), keys, rows)
+    out = np.broadcast_to(_STEP[:1], t.shape[:2]) + np.arange(keys, dtype=np.uint64)
+    for k in range(rows):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + t[:, :, k])
+    return prints, out.view(np.int64)
+
 
+def radius(similarity: float, hashes: int, exact: bool = False) -> int:
+    """Hamming radius that a pair of ``similarity`` exceeds with a chance of about 1 in 10,000, with ``exact`` never."""
+    unlike = 1 - similarity
+    variance = hashes * unlike * (BITS_EACH / 4 + BITS_EACH**2 / 4 * similarity)
+    bits = min(BITS_EACH * hashes, round(BITS_EACH * hashes * unlike / 2 + 3.75 * variance**0.5))
+    return (BITS_EACH * hashes if exact else bits) + WEIGHT * (math.ceil(-math.log(similarity) / STEP) + 1)
 
-def radius(similarity: float) -> int:
-    """Hamming radius that a pair of ``similarity`` exceeds with a chance of about 1 in 10,000."""
-    p = (1 - similarity) / 2
-    return min(BITS, round(BITS * p + 3.75 * (BITS * p * (1 - p)) ** 0.5))
 
+def first_shingles(sh: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the first shingles that a set of the similarity has one of them among its own first ones."""
+    return sh[: len(sh) - math.ceil(similarity * len(sh) - 1e-9) + 1].astype(np.int64)
 
-def sketch(pages: DataFrame, winners: DataFrame, width: int, least_words: int, **columns) -> DataFrame:
-    """``(doc_id, set_key, fingerprint, bands)`` of every page whose main text has enough words."""
+
+def sketch(pages: DataFrame, winners: DataFrame, width: int, least_words: int, similarity: float, exact: bool = False, **columns) -> DataFrame:
+    """``(doc_id, set_key, size, print, shards, sh)`` of every page whose main text has enough words."""
+    keys, rows = shape(similarity)
+    hashes = keys * rows
 
     def run(ids, texts, wons):
-        out, keys, least = [], [], []
-        for i, t, w in zip(ids, texts, wons):
-            if not t or i is None:
-                continue
-            sh = shingles(main_form(t, w), width, least_words)
-            if sh is None:
-                continue
-            out.append(i)
-            keys.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest())
-            least.append(signature(sh))
-        prints, bands = _bands(np.stack(least) if least else np.zeros((0, BANDS * ROWS), np.uint64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), lists], names=["doc_id", "set_key", "fingerprint", "bands"])
+        kept = [(i, main_form(t, w)) for i, t, w in zip(ids, texts, wons) if t and i is not None]
+        sets = shingles([t for _, t in kept], width, least_words)
+        out = [i for (i, _), sh in zip(kept, sets) if sh is not None]
+        sets = [sh for sh in sets if sh is not None]
+        least = np.stack([signature(sh, hashes) for sh in sets]) if sets else np.zeros((0, hashes), np.uint64)
+        prints, shards = _keys(least, [len(sh) for sh in sets], keys, rows)
+        if exact:
+            lists = pa.array([first_shingles(sh, similarity) for sh in sets], pa.list_(pa.int64()))
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * keys, pa.int32()), pa.array(shards.ravel(), pa.int64()))
+        raw = [sh.tobytes() for sh in sets]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(out, pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array([len(x) // 4 for x in raw], pa.int32()),
+                pa.array(prints, pa.binary()), lists, pa.array(raw, pa.binary()),
+            ],
+            names=["doc_id", "set_key", "size", "print", "shards", "sh"],
+        )
+
+    return over_pages(pages, winners, run, "doc_id long, set_key binary, size int, print binary, shards array<long>, sh binary", **columns)
 
-    return over_pages(pages, winners, run, "doc_id long, set_key binary, fingerprint long, bands array<long>", **columns)
 
+_BITS = (1 << PRINT_BITS) - 1
 
-_ALL = (1 << 64) - 1
+
+def distance(a: int, b: int) -> int:
+    """The Hamming distance of two fingerprints, their thermometers not spelled out."""
+    return ((a ^ b) & _BITS).bit_count() + WEIGHT * abs((a >> PRINT_BITS) - (b >> PRINT_BITS))
 
 
 class BKTree:
-    """A metric tree over non-negative integers under Hamming distance; equal values share a node."""
+    """A metric tree over fingerprints under Hamming distance; equal values share a node."""
 
     def __init__(self):
         self.value: list[int] = []
         self.rows: list[list[int]] = []
         self.edges: list[dict[int, int]] = []
+        self.met = 0  # nodes that probes have met
 
     def add(self, value: int, row: int) -> None:
         if not self.value:
@@ -142,7 +227,7 @@ class BKTree:
             return
         at = 0
         while True:
-            d = (self.value[at] ^ value).bit_count()
+            d = distance(self.value[at], value)
             if d == 0:
                 self.rows[at].append(row)
                 return
@@ -164,7 +249,8 @@ class BKTree:
         todo = [0] if self.value else []
         while todo:
             at = todo.pop()
-            d = (self.value[at] ^ value).bit_count()
+            self.met += 1
+            d = distance(self.value[at], value)
             if d <= r:
                 found += self.rows[at]
             if e := self.edges[at]:
@@ -172,9 +258,11 @@ class BKTree:
         return found
 
 
+def _number(print_: bytes) -> int:
+    return int.from_bytes(print_, "big")
+
+
 def _tree_pairs(ids: list[int], prints: list[int], r: int) -> list[tuple[int, int]]:
-    if len(ids) == 2:
-        return [(min(ids), max(ids))] if ids[0] != ids[1] and (prints[0] ^ prints[1]).bit_count() <= r else []
     tree, out = BKTree(), []
     for k, (i, f) in enumerate(zip(ids, prints)):
         out += [(min(i, ids[j]), max(i, ids[j])) for j in tree.within(f, r) if ids[j] != i]
@@ -182,34 +270,21 @@ def _tree_pairs(ids: list[int], prints: list[int], r: int) -> list[tuple[int, in
     return out
 
 
-def _cut(a: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
-
-
 def _shards(r: int):
-    """Rows sorted by shard -> candidate pairs; a shard may span batches."""
-
-    def pairs(shard: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
-        starts = _cut(shard)
-        ends = np.append(starts[1:], len(shard))
-        out: list[tuple[int, int]] = []
-        for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            out += _tree_pairs(ids[s:e].tolist(), prints[s:e].view(np.uint64).tolist(), r)
-        return out
+    """Rows sorted by shard -> candidate pairs; a shard may span batches, and holds at most ``TREE`` rows."""
 
     def run(batches):
-        rest = None
+        shard, ids, prints = None, [], []
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shard may go on in the next batch
-            rest = [c[last:] for c in cols]
-            yield _batch(set(pairs(*(c[:last] for c in cols))))
-        if rest is not None and len(rest[0]):
-            yield _batch(set(pairs(*rest)))
+            found: set[tuple[int, int]] = set()
+            for s, i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if s != shard:
+                    found.update(_tree_pairs(ids, prints, r))
+                    shard, ids, prints = s, [], []
+                ids.append(i)
+                prints.append(_number(f))
+            yield _batch(found)
+        yield _batch(set(_tree_pairs(ids, prints, r)))
 
     return run
 
@@ -219,75 +294,108 @@ def _batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
 
+_TREE = "shard long, size_class int, salt long, ids array<long>, prints array<binary>, parents array<int>"
+
+
+def _planted(t: pa.Table) -> pa.Table:
+    """One block of an oversize shard as a tree: its rows in the order of their nodes, and each node's parent."""
+    ids, prints = t.column("id").to_pylist(), t.column("print").to_pylist()
+    tree = BKTree()
+    for k, f in enumerate(prints):
+        tree.add(_number(f), k)
+    parent = [-1] * len(tree.value)
+    for k, e in enumerate(tree.edges):
+        for n in e.values():
+            parent[n] = k
+    order = [(n, k) for n, rows in enumerate(tree.rows) for k in rows]
+    one = {c: [t.column(c)[0].as_py()] for c in ("shard", "size_class", "salt")}
+    return pa.table(one | {"ids": [[ids[k] for _, k in order]], "prints": [[prints[k] for _, k in order]], "parents": [[-2 if j and order[j - 1][0] == n else parent[n] for j, (n, _) in enumerate(order)]]}, schema=_TREE_ARROW)
+
+
+_TREE_ARROW = pa.schema([("shard", pa.int64()), ("size_class", pa.int32()), ("salt", pa.int64()), ("ids", pa.list_(pa.int64())), ("prints", pa.list_(pa.binary())), ("parents", pa.list_(pa.int32()))])
+
+
+def _grown(ids: list[int], prints: list[int], parents: list[int]) -> BKTree:
+    """The tree behind ``parents``; a row with parent -2 stands in the node of the row before."""
+    tree = BKTree()
+    for k, (f, p) in enumerate(zip(prints, parents)):
+        if p == -2:
+            tree.rows[-1].append(k)
+            continue
+        if p >= 0:
+            tree.edges[p][distance(tree.value[p], f)] = len(tree.value)
+        tree._new(f, k)
+    return tree
+
+
 def _block_pairs(r: int):
-    """One row for each pair of blocks of an oversize shard: a sub-tree of the one, probed by the other."""
+    """One row for each pair of blocks of an oversize shard: the tree of the one, probed by the other."""
 
     def run(batches):
         for b in batches:
             out = set()
-            for left, right, same in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), b.column("same").to_pylist()):
-                tree = BKTree()
-                for k, x in enumerate(left):
-                    tree.add(x["fingerprint"] & _ALL, k)
-                for x in left if same else right:
-                    i = x["id"]
-                    out.update((min(i, left[j]["id"]), max(i, left[j]["id"])) for j in tree.within(x["fingerprint"] & _ALL, r) if left[j]["id"] != i)
+            for x in b.to_pylist():
+                ids = x["ids"]
+                tree = _grown(ids, [_number(f) for f in x["prints"]], x["parents"])
+                for i, f in zip(ids if x["same"] else x["other_ids"], x["prints"] if x["same"] else x["other_prints"]):
+                    out.update((min(i, ids[j]), max(i, ids[j])) for j in tree.within(_number(f), r) if ids[j] != i)
             yield _batch(out)
 
     return run
 
 
-def shard_pairs(reps: DataFrame, r: int, tree_rows: int = TREE) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b, of ``reps(id, fingerprint, bands)`` that share a shard and lie within ``r``."""
-    rows = reps.select(F.explode("bands").alias("shard"), "id", "fingerprint")
-    hot = rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > tree_rows)
-    hot = materialize(hot)
-    usual, oversize = rows, None
-    if not small(hot, 0):
-        known = broadcast_if_small(hot.select("shard"), 500_000)
-        usual = rows.join(known, "shard", "left_anti")
-        blocks = rows.join(broadcast_if_small(hot, 500_000), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (tree_rows / 2))))
-        blocks = materialize(blocks.groupBy("shard", "block").agg(F.collect_list(F.struct("id", "fingerprint")).alias("rows")))
-        left, right = blocks.alias("l"), blocks.alias("r")
-        on = (F.col("l.shard") == F.col("r.shard")) & (F.col("l.block") <= F.col("r.block"))
-        both = left.join(right, on).select(F.col("l.rows").alias("left"), F.col("r.rows").alias("right"), (F.col("l.block") == F.col("r.block")).alias("same"))
-        oversize = both.repartition(F.rand(7)).mapInArrow(_block_pairs(r), "a long, b long")
+def shard_pairs(reps: DataFrame, r: int, similarity: float, tree_rows: int = TREE) -> DataFrame:
+    """Candidate pairs ``(a, b)``, a < b, of ``reps(id, size, print, shards)`` that share a shard and lie within ``r``."""
+    rows = reps.select(F.explode("shards").alias("shard"), "id")
+    shared = materialize(rows.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"))
+    known = broadcast_if_small(shared, 1_000_000)
+    several = rows.join(known, "shard")
+    met = materialize(several)
+    prints = reps.select("id", "size", "print").join(broadcast_if_small(met.select("id").distinct(), 1_000_000), "id", "left_semi")
+    full = met.join(prints, "id")
+    usual = full.filter(F.col("n") <= tree_rows).select("shard", "id", "print")
     found = usual.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(r), "a long, b long")
-    if oversize is not None:
-        found = found.unionByName(oversize)
+    hot = shared.filter(F.col("n") > tree_rows)
+    if not small(hot, 0):
+        # Sets of the similarity have sizes of the same class or of neighbours.
+        size_class = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(similarity) if similarity < 1 else 1.0) + 1e-9).cast("int")
+        blocks = full.filter(F.col("n") > tree_rows).withColumn("size_class", size_class).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (tree_rows / 2))))
+        trees = materialize(blocks.select("shard", "size_class", "salt", "id", "print").groupBy("shard", "size_class", "salt").applyInArrow(_planted, _TREE))
+        near = trees.withColumn("near", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
+        left, right = near.alias("l"), trees.alias("r")
+        same = F.col("l.size_class") == F.col("r.size_class")
+        on = (F.col("l.shard") == F.col("r.shard")) & (F.col("l.near") == F.col("r.size_class")) & (~same | (F.col("l.salt") <= F.col("r.salt")))
+        one = same & (F.col("l.salt") == F.col("r.salt"))
+        both = left.join(right, on).select("l.ids", "l.prints", "l.parents", one.alias("same"), F.when(~one, F.col("r.ids")).alias("other_ids"), F.when(~one, F.col("r.prints")).alias("other_prints"))
+        found = found.unionByName(both.repartition(F.rand(7)).mapInArrow(_block_pairs(r), "a long, b long"))
     return found.distinct()
 
 
-def verified(pairs: DataFrame, pages: DataFrame, winners: DataFrame, width: int, least_words: int, similarity: float, **columns) -> DataFrame:
-    """The candidates whose exact similarity reaches the threshold: ``(a, b, similarity)``."""
-    id_column = columns.get("id_column", "doc_id")
-    ends = pairs.select(F.col("a").alias(id_column)).unionByName(pairs.select(F.col("b").alias(id_column))).distinct()
-
-    def run(ids, texts, wons):
-        made = [shingles(main_form(t, w), width, least_words) for t, w in zip(texts, wons)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if x is None else x.tobytes() for x in made], pa.binary())], names=["id", "sh"])
-
-    sh = materialize(over_pages(pages.join(broadcast_if_small(ends, 1_000_000), id_column, "left_semi"), winners, run, "id long, sh binary", **columns).filter("sh IS NOT NULL"))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidates whose similarity reaches the threshold: ``(a, b, similarity)``; ``sets(id, sh)`` has the shingles."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sh = sets.join(broadcast_if_small(ends, 1_000_000), "id", "left_semi")
     a, b = sh.select(F.col("id").alias("a"), F.col("sh").alias("sh_a")), sh.select(F.col("id").alias("b"), F.col("sh").alias("sh_b"))
 
     def check(batches):
         for x in batches:
-            keep_a, keep_b, keep_s = [], [], []
-            for i, j, p, q in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), x.column("sh_a"), x.column("sh_b")):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+            keep, kept = [], []
+            for k, (p, q) in enumerate(zip(x.column("sh_a"), x.column("sh_b"))):
+                p, q = np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 s = common / (len(p) + len(q) - common)
                 if s >= similarity:
-                    keep_a.append(i)
-                    keep_b.append(j)
-                    keep_s.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64()), pa.array(keep_s, pa.float64())], names=["a", "b", "similarity"])
+                    keep.append(k)
+                    kept.append(s)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([x.column("a").take(at), x.column("b").take(at), pa.array(kept, pa.float64())], names=["a", "b", "similarity"])
 
-    checked = pairs.join(a, "a").join(b, "b").select("a", "b", "sh_a", "sh_b").mapInArrow(check, "a long, b long, similarity double")
-    return checked.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sh_a", "sh_b").mapInArrow(check, "a long, b long, similarity double")
 
 
-def near_duplicates(pages: DataFrame, width: int = 5, similarity: float = 0.8, least_words: int = 1, tree_rows: int = TREE, **columns) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    pages: DataFrame, width: int = 5, similarity: float = 0.8, least_words: int = 1, tree_rows: int = TREE, exact: bool = False, **columns
+) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives, and membership.
 
     Returns ``links(a, b, similarity)``, a < b, and ``members(doc_id, rep)``: every page with enough words and
@@ -296,15 +404,16 @@ def near_duplicates(pages: DataFrame, width: int = 5, similarity: float = 0.8, l
     """
     id_column, text, host = columns.get("id_column", "doc_id"), columns.get("text", "text"), columns.get("host", "source")
     pages = pages.select(id_column, text, host)
-    winners = host_winners(pages, text, host)
-    sketched = materialize(sketch(pages, winners, width, least_words, **columns))
+    sketched = materialize(sketch(pages, host_winners(pages, text, host), width, least_words, similarity, exact, **columns))
     classes = sketched.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("set_key", "rep")
     classes = materialize(classes)
     members = sketched.select("doc_id", "set_key").join(broadcast_if_small(classes, 500_000), "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
     copies = materialize(members.filter("doc_id <> rep").select("doc_id"))
-    reps = sketched.join(broadcast_if_small(copies, 1_000_000), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "fingerprint", "bands")
-    pairs = materialize(shard_pairs(reps, radius(similarity), tree_rows))
-    return materialize(verified(pairs, pages, winners, width, least_words, similarity, **columns)), members
+    reps = sketched.join(broadcast_if_small(copies, 1_000_000), "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
+    keys, rows = shape(similarity)
+    r = radius(similarity, keys * rows, exact)
+    pairs = materialize(shard_pairs(reps.select("id", "size", "print", "shards"), r, similarity, tree_rows))
+    return materialize(verified(pairs, reps.select("id", "sh"), similarity)), members
 
 
 def expanded(links: DataFrame, members: DataFrame) -> DataFrame:

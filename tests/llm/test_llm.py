@@ -201,7 +201,35 @@ def test_bk_tree_finds_all_within(values, probe, r):
     tree = neardup.BKTree()
     for k, v in enumerate(values):
         tree.add(v, k)
-    assert sorted(tree.within(probe, r)) == [k for k, v in enumerate(values) if (v ^ probe).bit_count() <= r]
+    assert sorted(tree.within(probe, r)) == [k for k, v in enumerate(values) if neardup.distance(v, probe) <= r]
+
+
+@pytest.mark.parametrize(("similarity", "share"), [(0.6, 0.5), (0.8, 0.25)])
+def test_probes_leave_out_most_of_a_shard(similarity, share):
+    """A shard of 2,000 texts as long as pages are, in clusters of ten: probes meet few nodes and lose no link."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(200):
+        base = [rng.choice(vocabulary) for _ in range(int(20 + 130 * rng.lognormvariate(0, 0.9)))]
+        for _ in range(10):
+            t = list(base)
+            for _ in range(rng.randint(0, len(t) // 25)):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            texts.append(" ".join(t))
+    keys, rows = neardup.shape(similarity)
+    sets = neardup.shingles(texts, 3, 20)
+    prints, _ = neardup._keys(neardup.np.stack([neardup.signature(s, keys * rows) for s in sets]), [len(s) for s in sets], keys, rows)
+    values = [neardup._number(x) for x in prints]
+    tree, r = neardup.BKTree(), neardup.radius(similarity, keys * rows)
+    order = list(range(len(values)))
+    rng.shuffle(order)
+    for k in order:
+        tree.add(values[k], k)
+    found = {k: set(tree.within(values[k], r)) for k in order}
+    assert tree.met / len(order) < share * len(tree.value)
+    like = [(k, j) for k in order for j in range(k // 10 * 10, k) if len(set(sets[k]) & set(sets[j])) >= similarity * len(set(sets[k]) | set(sets[j]))]
+    assert sum(j not in found[k] for k, j in like) <= len(like) / 1000
 
 
 def near_copies(rng, n_groups, copies, n_alone):
@@ -218,17 +246,17 @@ def near_copies(rng, n_groups, copies, n_alone):
     return out
 
 
-@pytest.mark.parametrize("tree_rows", [2000, 4])
-def test_near_duplicates_against_all_pairs(spark, tree_rows):
+@pytest.mark.parametrize(("tree_rows", "exact"), [(2000, False), (4, False), (2000, True), (4, True)])
+def test_near_duplicates_against_all_pairs(spark, tree_rows, exact):
     rng = random.Random(7)
     texts = near_copies(rng, 12, 7, 60) + ["short text"] * 3 + [None, ""]
     texts += [texts[0]] * 3  # exact copies
     df = docs(spark, [(k, t, None) for k, t in enumerate(texts)]).withColumn("rep", F.lit(1))
     sets = {k: set(zip(t.split(), t.split()[1:], t.split()[2:])) for k, t in enumerate(texts) if t and len(t.split()) >= 20}
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
-    links, members = neardup.near_duplicates(df, width=3, similarity=0.6, least_words=20, tree_rows=tree_rows)
+    links, members = neardup.near_duplicates(df, width=3, similarity=0.6, least_words=20, tree_rows=tree_rows, exact=exact)
     got = {(r.doc_id_a, r.doc_id_b) for r in neardup.expanded(links, members).collect()}
-    assert got <= want and len(got) >= 0.99 * len(want)
+    assert got <= want and len(got) >= 0.999 * len(want) and (got == want or not exact)
     group = {r.doc_id: (r.group_id, r.n_links) for r in neardup.grouped(links, members).collect()}
     assert set(group) == set(sets)
     parent = {k: k for k in sets}
