@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -187,75 +188,103 @@ def _enters(x: Line) -> bool:
     return not x.sentence and len(x.text) <= 100 and not x.long
 
 
-def _votes(texts: Iterable[tuple[str, str]]) -> dict[tuple[str, int], list[int]]:
-    """(host, path) -> pages with it; of these, how many have running text before it, after it, how many have it in a run of
-    entries, how many have one and two entries right below it; and a bitmap of the bodies it came with, so that copies of a
-    page count once."""
-    out: dict[tuple[str, int], list[int]] = {}
+BEFORE, AFTER, IN, ONE, TWO = 1, 2, 4, 8, 16
+"""What a vote tells of its line: running text before it, after it, a run of entries around it, one and two entries right below it."""
+
+
+def _page(rows: list[Line], at: list[int], vote) -> None:
+    """The votes of one page of two or more lines ``rows`` at the line numbers ``at``: ``vote(path, flags)`` of each different path."""
+    n = len(rows)
+    body = [k for k, x in enumerate(rows) if x.long and not (x.sentence and len(x.text) < 45)]
+    first, last = (body[0], body[-1]) if body else (n, -1)
+    # From which line on, and up to which, PROSE bytes of running text stand above and below.
+    above, size = n, 0
+    for k in body:
+        size += rows[k].size()
+        if size >= PROSE:
+            above = k + 1
+            break
+    below, size = -1, 0
+    for k in reversed(body):
+        size += rows[k].size()
+        if size >= PROSE:
+            below = k - 1
+            break
+    seen = set()
+    add = seen.add
+    start = 0  # of the run of short lines with one mark
+    before = None
+    for k, x in enumerate(rows):
+        above_it, before = before, x
+        if above_it is not None:
+            if not x.short or x.mark != above_it.mark or not above_it.short:
+                start = k
+            if at[k] - at[k - 1] == 1 and _goes_on(x, above_it):
+                continue
+        sides = (BEFORE if k >= above else 0) | (AFTER if k <= below else 0)
+        if (key := x.first()) and key not in seen:
+            add(key)
+            vote(key, sides)
+        size = len(x.text)
+        if first < k < last and size > 50 and (size > LONG or above_it.long or rows[k + 1].long):
+            continue  # inside running text
+        if (key := x.key()) not in seen:
+            add(key)
+            flags = sides
+            plain = x.plain()
+            if k + 1 < n and at[k + 1] - at[k] == 1 and _enters(rows[k + 1]):
+                flags |= ONE
+                if plain and not x.sentence and k + 2 < n and at[k + 2] - at[k] == 2 and _enters(rows[k + 2]):
+                    flags |= TWO
+            if plain and x.short and (k - start >= RUN - 1 or (k + 2 < n and rows[k + 1].short and rows[k + 2].short and rows[k + 1].mark == rows[k + 2].mark == x.mark)):
+                flags |= IN
+            vote(key, flags)
+        if (k < above or k > below) and not x.long and len(c := x.cells()) > 1:
+            flags = sides | (IN if len(c) >= RUN and not c[-1].isdigit() else 0)
+            for j, y in enumerate(c):
+                if 1 < len(y) <= 32 and (key := _key(y)) not in seen:
+                    add(key)
+                    vote(key, flags | ONE | TWO if j == 0 and len(c) > RUN else flags)
+
+
+def _votes(texts: Iterable[tuple[str, str]]) -> pa.RecordBatch:
+    """One row for each host and path of ``(host, text)``: the pages with it, how many of them have what the flags tell, and a
+    bitmap of the bodies it came with, so that copies of a page count once. Path 0 stands for the page itself."""
+    names: dict[str, int] = {}
+    hosts, counts, bodies = [], [], []
+    paths: list[int] = []
+    flags: list[int] = []
+    add_path, add_flags = paths.append, flags.append
+
+    def vote(path: int, what: int) -> None:
+        add_path(path)
+        add_flags(what)
+
     for host, text in texts:
         every = lines_of(_shown(text))
         at = [k for k, x in enumerate(every) if x is not None]
-        n = len(at)
-        if n < 2:
+        if len(at) < 2:
             continue
         rows = [every[k] for k in at]
-        body = [k for k, x in enumerate(rows) if x.long and not (x.sentence and len(x.text) < 45)]
-        first, last = (body[0], body[-1]) if body else (n, -1)
-        # From which line on, and up to which, PROSE bytes of running text stand above and below.
-        above, size = n, 0
-        for k in body:
-            size += rows[k].size()
-            if size >= PROSE:
-                above = k + 1
-                break
-        below, size = -1, 0
-        for k in reversed(body):
-            size += rows[k].size()
-            if size >= PROSE:
-                below = k - 1
-                break
-        bit = 1 << (_body(" ".join([rows[k].low for k in body]) or text) & 63)
-        seen = {0}
-        add = seen.add
-
-        def vote(key: int, k: int, run: bool, one: bool, two: bool) -> None:
-            add(key)
-            v = out.get((host, key))
-            if v is None:
-                v = out[(host, key)] = [0, 0, 0, 0, 0, 0, 0]
-            v[0] += 1
-            v[1] += k >= above
-            v[2] += k <= below
-            v[3] += run
-            v[4] += one
-            v[5] += two
-            v[6] |= bit
-
-        vote(0, 0, False, False, False)  # the page itself
-        start = 0  # of the run of short lines with one mark
-        for k, x in enumerate(rows):
-            if k and (not x.short or x.mark != rows[k - 1].mark or not rows[k - 1].short):
-                start = k
-            if k and at[k] - at[k - 1] == 1 and _goes_on(x, rows[k - 1]):
-                continue
-            size = len(x.text)
-            if x.first() and x.first() not in seen:
-                vote(x.first(), k, False, False, False)
-            if first < k < last and size > 50 and (size > LONG or rows[k - 1].long or rows[k + 1].long):
-                continue  # inside running text
-            if (key := x.key()) not in seen:
-                plain = x.plain()
-                one = k + 1 < n and at[k + 1] - at[k] == 1 and _enters(rows[k + 1])
-                two = one and not x.sentence and plain and k + 2 < n and at[k + 2] - at[k] == 2 and _enters(rows[k + 2])
-                run = plain and x.short and (k - start >= RUN - 1 or (k + 2 < n and rows[k + 1].short and rows[k + 2].short and rows[k + 1].mark == rows[k + 2].mark == x.mark))
-                vote(key, k, run, one, two)
-            if (k < above or k > below) and not x.long and len(c := x.cells()) > 1:
-                row = len(c) >= RUN and not c[-1].isdigit()
-                for j, y in enumerate(c):
-                    if 1 < len(y) <= 32 and (key := _key(y)) not in seen:
-                        headed = j == 0 and len(c) > RUN
-                        vote(key, k, row, headed, headed)
-    return out
+        before = len(paths)
+        vote(0, 0)
+        _page(rows, at, vote)
+        hosts.append(names.setdefault(host, len(names)))
+        counts.append(len(paths) - before)
+        bodies.append(1 << (_body(" ".join([x.low for x in rows if x.long and not (x.sentence and len(x.text) < 45)]) or text) & 63))
+    host = np.repeat(np.array(hosts, np.int32), counts)
+    body = np.repeat(np.array(bodies, np.uint64), counts)
+    path, what = np.array(paths, np.int64), np.array(flags, np.int32)
+    order = np.lexsort((path, host))
+    host, path, what, body = host[order], path[order], what[order], body[order]
+    if len(path):
+        starts = np.flatnonzero(np.concatenate(([True], (host[1:] != host[:-1]) | (path[1:] != path[:-1]))))
+        sums = [np.diff(np.append(starts, len(path)))] + [np.add.reduceat((what & f) != 0, starts, dtype=np.int32) for f in (BEFORE, AFTER, IN, ONE, TWO)]
+        host, path, body = host[starts], path[starts], np.bitwise_or.reduceat(body, starts)
+    else:
+        sums = [np.zeros(0, np.int32)] * 6
+    said = pa.array(list(names), pa.string()).take(pa.array(host))
+    return pa.RecordBatch.from_arrays([said, pa.array(path), *(pa.array(x.astype(np.int32)) for x in sums), pa.array(body.view(np.int64))], names=["host", "path", *COUNTS, "bodies"])
 
 
 _PAIR = re.compile(rb"[^ ]{7,} [^ ]+")
@@ -278,16 +307,7 @@ def path_votes(pages: DataFrame, text: str = "text", host: str = "source") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = _votes((h, t) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and h)
-            keys, counts = list(made), list(made.values())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
-                    *(pa.array([c[i] for c in counts], pa.int32()) for i in range(6)),
-                    pa.array([c[6] - (1 << 64) if c[6] >> 63 else c[6] for c in counts], pa.int64()),
-                ],
-                names=["host", "path", *COUNTS, "bodies"],
-            )
+            yield _votes((h, t) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and h)
 
     votes = pages.select(F.col(host).alias("host"), F.col(text).alias("text")).filter(F.col("host").rlike(WEB) & F.col("text").isNotNull())
     votes = votes.mapInArrow(run, "host string, path long, " + "".join(f"{c} int, " for c in COUNTS) + "bodies long")

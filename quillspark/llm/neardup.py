@@ -348,11 +348,8 @@ def shard_pairs(reps: DataFrame, r: int, similarity: float, tree_rows: int = TRE
     """Candidate pairs ``(a, b)``, a < b, of ``reps(id, size, print, shards)`` that share a shard and lie within ``r``."""
     rows = reps.select(F.explode("shards").alias("shard"), "id")
     shared = materialize(rows.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"))
-    known = broadcast_if_small(shared, 1_000_000)
-    several = rows.join(known, "shard")
-    met = materialize(several)
-    prints = reps.select("id", "size", "print").join(broadcast_if_small(met.select("id").distinct(), 1_000_000), "id", "left_semi")
-    full = met.join(prints, "id")
+    met = materialize(rows.join(broadcast_if_small(shared, 200_000), "shard"))
+    full = met.join(reps.select("id", "size", "print"), "id")
     usual = full.filter(F.col("n") <= tree_rows).select("shard", "id", "print")
     found = usual.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(r), "a long, b long")
     hot = shared.filter(F.col("n") > tree_rows)
@@ -374,7 +371,7 @@ def shard_pairs(reps: DataFrame, r: int, similarity: float, tree_rows: int = TRE
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The candidates whose similarity reaches the threshold: ``(a, b, similarity)``; ``sets(id, sh)`` has the shingles."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sh = sets.join(broadcast_if_small(ends, 1_000_000), "id", "left_semi")
+    sh = sets.join(broadcast_if_small(ends, 200_000), "id", "left_semi")
     a, b = sh.select(F.col("id").alias("a"), F.col("sh").alias("sh_a")), sh.select(F.col("id").alias("b"), F.col("sh").alias("sh_b"))
 
     def check(batches):
@@ -407,9 +404,9 @@ def near_duplicates(
     sketched = materialize(sketch(pages, host_winners(pages, text, host), width, least_words, similarity, exact, **columns))
     classes = sketched.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("set_key", "rep")
     classes = materialize(classes)
-    members = sketched.select("doc_id", "set_key").join(broadcast_if_small(classes, 500_000), "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
+    members = sketched.select("doc_id", "set_key").join(broadcast_if_small(classes, 200_000), "set_key", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
     copies = materialize(members.filter("doc_id <> rep").select("doc_id"))
-    reps = sketched.join(broadcast_if_small(copies, 1_000_000), "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
+    reps = sketched.join(broadcast_if_small(copies, 200_000), "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
     keys, rows = shape(similarity)
     r = radius(similarity, keys * rows, exact)
     pairs = materialize(shard_pairs(reps.select("id", "size", "print", "shards"), r, similarity, tree_rows))
