@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.textform import form
-from quillspark.runtime import materialize, small
+from quillspark.runtime import broadcast_if_small, materialize, small
 
 
 _DATE = re.compile(r"\d+ [^\W\d_]+ (?:19|20)\d\d")
@@ -325,7 +325,7 @@ def winning_paths(votes: DataFrame) -> DataFrame:
     every = votes.filter("path <> 0").groupBy("path").agg(
         *(F.sum(c).alias(f"all_{c}") for c in COUNTS), F.count("*").alias("all_hosts"), F.bit_or("bodies").alias("all_bodies")
     )
-    every = every.filter(f"all_pages >= {MIN_PAGES} AND bit_count(all_bodies) >= {MIN_PAGES}")
+    every = materialize(every.filter(f"all_pages >= {MIN_PAGES} AND bit_count(all_bodies) >= {MIN_PAGES}"))
     total = hosts.agg(F.sum("host_pages")).first()[0] or 0
     over = every.filter(f"all_hosts >= {ALL_HOSTS} AND all_pages >= {max(ALL_PAGES, ALL_SHARE * total)} AND bit_count(all_bodies) >= {ALL_PAGES}")
     sides = "(all_before + all_after)"
@@ -336,7 +336,7 @@ def winning_paths(votes: DataFrame) -> DataFrame:
     )
     over = over.select(F.lit("*").alias("host"), "path", F.expr(kind).cast("int").alias("kind")).filter("kind IS NOT NULL")
     own = votes.filter(f"path <> 0 AND pages >= {MIN_PAGES} AND bit_count(bodies) >= {MIN_PAGES}")
-    own = own.join(every.select("path", "all_pages"), "path").join(F.broadcast(hosts) if small(hosts, 500_000) else hosts, "host")
+    own = own.join(broadcast_if_small(every.select("path", "all_pages"), 200_000), "path").join(broadcast_if_small(hosts, 200_000), "host")
     bits = F.bit_count("bodies")
     # The number of different bodies behind a bitmap, as long as it is far from full.
     bodies = F.when(bits < 50, -64 * F.log(1 - bits / 64)).otherwise(F.col("pages"))
