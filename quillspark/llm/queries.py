@@ -47,8 +47,8 @@ def p2_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    ranked = fusion.query_ranking(table(spark, d, "page_scores"), table(spark, d, "search_queries"))
-    return fusion.top(ranked, "query_id", "doc_id", "top_k", 5).select("query_id", "doc_id")
+    asked = table(spark, d, "search_queries")
+    return fusion.top(fusion.query_ranking(table(spark, d, "page_scores"), asked), asked, "query_id", "doc_id", "top_k", 5).select("query_id", "doc_id")
 
 
 def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +56,12 @@ def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("query_id", "doc_id", F.round("points", 9).alias("points"))
 
 
+def p7_borda(spark: SparkSession, d: str) -> DataFrame:
+    """The same with averaged ties and the mean place for missing scores."""
+    ranked = fusion.query_ranking(table(spark, d, "page_scores"), table(spark, d, "search_queries"), "average", "middle")
+    return ranked.select("query_id", "doc_id", F.round("points", 9).alias("points"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encoded(table(spark, d, "documents", "doc_id", "text"))
 
@@ -74,7 +80,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_main_text, p2_found, p2_weights, p3_found, p3_groups, p4_found, p4_forms, p7_found, p7_ranking,
+        p1_found, p1_main_text, p2_found, p2_weights, p3_found, p3_groups, p4_found, p4_forms, p7_found, p7_ranking, p7_borda,
         p8_ids, p9_containers, p9_fill_report, p10_pieces,
     )
     return {f.__name__: f for f in found}
@@ -95,9 +101,17 @@ WITH latest AS (
 """
 
 
+_MEAN = "CASE WHEN {0} IS NOT NULL THEN (rank() OVER (PARTITION BY l.query_id ORDER BY {0} NULLS LAST) - 1 + (count(*) OVER (PARTITION BY l.query_id, {0}) - 1) / 2) / count({0}) OVER (PARTITION BY l.query_id) WHEN count({0}) OVER (PARTITION BY l.query_id) > 0 THEN (count({0}) OVER (PARTITION BY l.query_id) - 1) / (2 * count({0}) OVER (PARTITION BY l.query_id)) ELSE 0 END"
+P7_BORDA = (
+    P7.split(", placed AS")[0]
+    + f"SELECT l.query_id, doc_id, round({_MEAN.format('a')} + coalesce(page_rank_weight, 1) * {_MEAN.format('b')}, 9) AS points FROM latest l JOIN search_queries q ON l.query_id = q.query_id"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
     return {
         "p7_found": P7 + "SELECT query_id, doc_id FROM placed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pa + w * pb DESC, doc_id) <= coalesce(top_k, 5)",
         "p7_ranking": P7 + "SELECT query_id, doc_id, round(pa + w * pb, 9) AS points FROM placed",
+        "p7_borda": P7_BORDA,
     }

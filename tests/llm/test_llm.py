@@ -324,16 +324,26 @@ def test_fused_ranking(spark, range_rows):
                 rows += [(q, d, 9e9, 9e9, dt(2024, 1, 1)), rows[-1]]
     s = spark.createDataFrame(rows, "query_id long, doc_id long, tf_idf_score double, current_pr double, scored_at timestamp_ntz")
     w = spark.createDataFrame([(q, k, x, "clash") for q, (k, x) in weights.items()], "query_id long, top_k int, page_rank_weight double, doc_id string")
-    ranked = fusion.query_ranking(s, w, range_rows)
-    got = {(r.query_id, r.doc_id) for r in fusion.top(ranked, "query_id", "doc_id", "top_k", 5).collect()}
+    ranked = fusion.query_ranking(s, w, range_rows=range_rows)
+    got = {(r.query_id, r.doc_id) for r in fusion.top(ranked, w, "query_id", "doc_id", "top_k", 5).collect()}
     assert got == plain_ranking(scores, weights)
-    assert fusion.top(fusion.query_ranking(s.limit(0), w), "query_id", "doc_id", "top_k", 5).count() == 0
+    assert fusion.top(fusion.query_ranking(s.limit(0), w), w, "query_id", "doc_id", "top_k", 5).count() == 0
+    assert fusion.top(fusion.query_ranking(s.limit(0), w.limit(0)), w.limit(0), "query_id", "doc_id", "top_k", 5).count() == 0
+
+
+@pytest.mark.parametrize(("ties", "missing"), [("below", "last"), ("average", "middle"), ("average", "last")])
+def test_large_groups_have_the_places_of_small_ones(spark, ties, missing):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(g, i, rng.choice([None, rng.random(), 0.5, float(rng.randint(0, 9))])) for g in (1, 2) for i in range(80)] + [(3, 1, None)], "g long, i long, s double")
+    one = {(r.g, r.i): r.p for r in fusion.places(df, "g", ["s"], ["p"], ties, missing).collect()}
+    two = {(r.g, r.i): r.p for r in fusion.range_places(df, "g", "s", "p", ties, missing, 7).collect()}
+    assert one == two and len(one) == 161
 
 
 def test_average_ties_and_middle_place(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 2.0), (1, 3, None), (1, 4, 9.0)], "g long, i long, s double")
-    got = {r.i: r.p for r in fusion.places(df, "g", "s", "p", "average", "middle").collect()}
-    assert got == {1: 0.375, 2: 0.375, 3: 0.5, 4: 0.75}
+    got = {r.i: r.p for r in fusion.places(df, "g", ["s"], ["p"], "average", "middle").collect()}
+    assert got == {1: 0.5 / 3, 2: 0.5 / 3, 3: 1 / 3, 4: 2 / 3}  # a missing score has the mean place of the others
 
 
 # Problems 8, 9, 10
