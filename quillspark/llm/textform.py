@@ -10,15 +10,17 @@ Lines stay lines: ``\\n`` is kept, ``\\r\\n`` and a lone ``\\r`` become ``\\n``.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.runtime import broadcast_if_small, materialize
+
 # Letters of Greek and Cyrillic that are drawn like a Latin letter, each followed by that letter.
 LOOKALIKES = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ϲc ϳj "
@@ -81,12 +83,17 @@ def form(text: str | None, fold_case: bool = False) -> str | None:
     return text
 
 
+def _per_value(texts: pa.Array, f) -> list:
+    """``f`` of every text of a batch, called once for each distinct value."""
+    coded = texts.dictionary_encode()
+    made = [f(t) for t in coded.dictionary.to_pylist()]
+    return [None if k is None else made[k] for k in coded.indices.to_pylist()]
+
+
 def _map_form(column: str, out: str, fold_case: bool):
     def run(batches):
-        cached = lru_cache(maxsize=4096)(lambda t: form(t, fold_case))
         for b in batches:
-            texts = b.column(b.schema.get_field_index(column)).to_pylist()
-            made = pa.array([None if t is None else form(t, fold_case) if len(t) > 256 else cached(t) for t in texts], pa.string())
+            made = pa.array(_per_value(b.column(b.schema.get_field_index(column)), lambda t: form(t, fold_case)), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, made], schema=pa.schema([*b.schema, pa.field(out, pa.string())]))
 
     return run
@@ -95,47 +102,61 @@ def _map_form(column: str, out: str, fold_case: bool):
 def with_form(df: DataFrame, column: str = "text", out: str = "form", fold_case: bool = False) -> DataFrame:
     """``df`` with the column ``out``: the form of ``column``; every other column stays, whatever its name.
 
-    Batches go through Arrow; repeated short values are formed once per batch run.
+    Batches go through Arrow; each distinct value of a batch is formed once, as texts are too large to shuffle for it.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
     return df.mapInArrow(_map_form(column, out, fold_case), schema)
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _look_keys(text: str) -> tuple[bytes, bytes] | None:
+    f = form(text)
+    if not _LETTER.search(f):
+        return None
+    return tuple(hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()[:16] for x in (f, text))
+
+
 def lookalike_keys(df: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """For each row with a text that holds a letter: ``(id, form_key, text_key, n)``, both keys 16 bytes of SHA-256.
+    """For each row with a text that holds a letter: ``(doc_id, form_key, text_key)``, both keys 16 bytes of SHA-256.
 
     Only keys leave the scan, so the texts are never shuffled.
     """
-    import hashlib
 
     def run(batches):
-        letter = re.compile(r"[^\W\d_]")
         for b in batches:
-            ids, forms, raws = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t is None or i is None:
-                    continue
-                f = form(t)
-                if not letter.search(f):
-                    continue
-                ids.append(i)
-                forms.append(hashlib.sha256(f.encode("utf-8", "surrogatepass")).digest()[:16])
-                raws.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.binary()), pa.array(raws, pa.binary())], names=["doc_id", "form_key", "text_key"])
+            kept = [(i, k) for i, k in zip(b.column(0).to_pylist(), _per_value(b.column(1), _look_keys)) if k is not None and i is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in kept], pa.int64()), *(pa.array([k[j] for _, k in kept], pa.binary()) for j in (0, 1))], names=["doc_id", "form_key", "text_key"]
+            )
 
     return df.select(F.col(id_column).alias("doc_id"), F.col(column).alias("text")).mapInArrow(run, "doc_id long, form_key binary, text_key binary")
 
 
-def lookalike_pairs(keys: DataFrame) -> DataFrame:
+SALTED = 10_000
+"""The rows of one string meet in blocks of about so many."""
+
+
+def lookalike_pairs(keys: DataFrame, salted: int = SALTED) -> DataFrame:
     """Pairs of ids whose texts look the same but are different strings.
 
-    Classes of equal strings are formed first; only forms with two or more different strings go on, so a text
-    that a third of all rows share costs one counted row a partition unless a look-alike of it exists.
+    Classes of equal strings are formed first and paired by their form, then their members join: equal strings never meet.
+    A string that a third of all rows share is one counted row a partition unless a look-alike of it exists; then
+    its rows are spread over blocks, each with the look-alikes, and the work is that of the pairs put out.
     """
     classes = keys.groupBy("form_key", "text_key").agg(F.count("*").alias("n"))
-    several = classes.groupBy("form_key").agg(F.count("*").alias("k")).filter("k > 1").select("form_key")
-    kept = keys.join(several, "form_key", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    on = (F.col("a.form_key") == F.col("b.form_key")) & (F.col("a.text_key") != F.col("b.text_key")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    return a.join(b, on).select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")).distinct()
-
+    # Least and largest string of a form tell whether it has several; combined before the shuffle, whatever their number.
+    several = keys.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).filter("low <> high").select("form_key")
+    classes = materialize(classes.join(broadcast_if_small(several, 200_000), "form_key", "left_semi"))
+    blocks = F.ceil(F.col("n") / salted)
+    members = keys.select("doc_id", "text_key").join(broadcast_if_small(classes.select("text_key", "n"), 200_000), "text_key")
+    members = materialize(members.select("doc_id", "text_key", F.pmod(F.xxhash64("doc_id"), blocks).alias("salt")).distinct())
+    parts = classes.select("form_key", "text_key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("salt"))
+    a = parts.select("form_key", F.col("text_key").alias("key_a"), F.col("salt").alias("salt_a"))
+    b = parts.select("form_key", F.col("text_key").alias("key_b"), F.col("salt").alias("salt_b"))
+    met = a.join(b, "form_key").filter("key_a < key_b").drop("form_key")
+    of_a = members.select(F.col("text_key").alias("key_a"), F.col("salt").alias("salt_a"), F.col("doc_id").alias("x"))
+    of_b = members.select(F.col("text_key").alias("key_b"), F.col("salt").alias("salt_b"), F.col("doc_id").alias("y"))
+    both = met.join(of_a, ["key_a", "salt_a"]).join(of_b, ["key_b", "salt_b"]).filter("x <> y")
+    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()

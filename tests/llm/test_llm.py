@@ -61,6 +61,15 @@ def test_form_columns_and_pairs(spark):
     assert textform.lookalike_pairs(textform.lookalike_keys(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("salted", [3, 10_000])
+def test_pairs_of_a_string_that_many_rows_share(spark, salted):
+    same = ["Paper river"] * 40 + ["Рaper river"] * 2 + ["Paper\u00a0river", "paper river", "Paper river"]
+    df = docs(spark, [(k, t, None) for k, t in enumerate(same)] + [(0, same[0], None), (50, None, None), (None, same[0], None)])
+    got = {(r.doc_id_a, r.doc_id_b) for r in textform.lookalike_pairs(textform.lookalike_keys(df), salted).collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(len(same)), 2) if same[a] != same[b] and textform.form(same[a]) == textform.form(same[b])}
+    assert got == want and len(want) > 100
+
+
 # Problem 1
 
 
