@@ -436,13 +436,13 @@ def compression_ratio(spark, d):
 
 @query("SELECT term FROM inverted_index WHERE term IS NOT NULL GROUP BY term HAVING count(*) >= 0.02 * (SELECT count(*) FROM inverted_index)")
 def p5_found(spark, d):
-    rows = table(spark, d, "inverted_index", "term")
-    return hotkeys.hot_keys(hotkeys.key_counts(rows, "term"), "term", rows.count(), 0.02)
+    counts = materialize(hotkeys.key_counts(table(spark, d, "inverted_index", "term"), "term"))
+    return hotkeys.hot_keys(counts, "term", counts.agg(F.sum("n_rows")).first()[0] or 0, 0.02)
 
 
 @query("SELECT term, count(*) AS n_rows, count(DISTINCT doc_id) AS n_items, count(DISTINCT (doc_id, pos)) AS n_places FROM inverted_index GROUP BY term")
 def p5_term_counts(spark, d):
-    return hotkeys.key_counts(table(spark, d, "inverted_index", "term", "doc_id", "pos"), "term", "doc_id", "pos")
+    return hotkeys.key_counts(table(spark, d, "inverted_index", "segment_id", "term", "doc_id", "pos"), "term", "doc_id", "pos", "segment_id")
 
 
 P6 = """

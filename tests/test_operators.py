@@ -151,6 +151,11 @@ def test_key_counts(spark):
                 want_places[t].add((i, p))
     got = {r.term: (r.n_rows, r.n_items, r.n_places) for r in hotkeys.key_counts(df, "term", "doc_id", "pos").collect()}
     assert got == {t: (n[t], len(want_items[t]), len(want_places[t])) for t in n}
+    parted = df.withColumn("part", F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") / 30).cast("int"))).repartition(3)
+    for order in (["part", "term"], ["doc_id"]):
+        rows_ = hotkeys.key_counts(parted.sortWithinPartitions(*order), "term", "doc_id", "pos", "part").collect()
+        assert {r.term: (r.n_rows, r.n_items, r.n_places) for r in rows_} == got
+    assert hotkeys.key_counts(parted.limit(0), "term", "doc_id", "pos", "part").count() == 0
     assert {r.term: r.n_items for r in hotkeys.key_counts(df, "term", "doc_id").collect()} == {t: len(want_items[t]) for t in n}
     assert [r.term for r in hotkeys.hot_keys(hotkeys.key_counts(df, "term"), "term", len(rows), 0.5).collect()] == ["a"]
     assert hotkeys.key_counts(df.limit(0), "term", "doc_id", "pos").count() == 0
