@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -10,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in tests on one machine, a folder of this process is used.
+    Only where the setting is absent and the master is local, as in tests, a folder of this process is used; on a cluster
+    it would be another folder on every machine, so the setting must be there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
@@ -36,18 +41,36 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _remove_all(down_to: int = 0) -> None:
+    while len(_WRITTEN) > down_to:
+        _remove(*_WRITTEN.pop())
+
+
+atexit.register(_remove_all)
+
+
+@contextlib.contextmanager
+def scope():
+    """Intermediate tables written inside are removed at its end; results must have been written or collected by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _remove_all(before)
+
+
 def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
-    The table is removed when the driver's process ends.
+    The table is removed at the end of the ``scope`` around the call, else when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _WRITTEN.append((spark, path))
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

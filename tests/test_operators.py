@@ -200,3 +200,23 @@ def test_ranked_queries_agree_with_one_query_each(spark):
         one = ranking.blended(ranking.tfidf(documents, [t for t in terms or [] if t]), ranks, 1.0 if w is None else w, 5 if k is None else k)
         want |= {(i, r.doc_id, round(r.score, 6)) for r in one.collect()}
     assert got == want and {x[0] for x in got} == {1, 2, 3}
+
+
+def test_intermediate_tables(spark, monkeypatch):
+    import os
+
+    from quillspark import runtime
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder.removeprefix("file://")))
+    with runtime.scope():
+        assert runtime.materialize(spark.range(5)).count() == 5
+        assert set(os.listdir(folder.removeprefix("file://"))) - before
+    assert set(os.listdir(folder.removeprefix("file://"))) == before
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Cluster)
