@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.analysis import Analyzer, positions, standard
 from quillspark.runtime import broadcast_if_small, materialize
 
 C, V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
@@ -104,3 +105,30 @@ def stem_tokens(tokens: DataFrame, broadcast_words: int = 2_000_000) -> DataFram
     broadcast if their measured number allows."""
     vocabulary = broadcast_if_small(stemmed(tokens.select("term").distinct()), broadcast_words)
     return tokens.join(vocabulary, "term").withColumn("term", F.col("stem")).drop("stem")
+
+
+class Stemming:
+    """A tokenizer and the stemmer as one analyzer: for queries, for the places of their terms, for whole texts."""
+
+    def __init__(self, analyzer: Analyzer = standard):
+        self.analyzer = analyzer
+
+    def query(self, spark: SparkSession, words: list[str], whole: bool = False) -> list[str]:
+        """The stem of the first token of each word, or with ``whole`` of all its tokens, in order and with repetitions."""
+        if not words:
+            return []
+        rows = spark.createDataFrame(list(enumerate(words)), "k int, text string").select("k", F.posexplode(self.analyzer(F.col("text"))).alias("pos", "term"))
+        tokens = sorted(rows.collect(), key=lambda r: (r.k, r.pos))
+        stems = {r.term: r.stem for r in stemmed(spark.createDataFrame([(t,) for t in {r.term for r in tokens}], "term string")).collect()}
+        return [stems[r.term] for r in tokens if whole or r.pos == 0]
+
+    def tokens(self, documents: DataFrame) -> DataFrame:
+        """``(doc_id, pos, term)`` of all tokens, stemmed."""
+        return stem_tokens(positions(documents, self.analyzer))
+
+    def places(self, documents: DataFrame, terms: list[str]) -> DataFrame:
+        """``(doc_id, pos, term)`` of the given stems only. The distinct words are stemmed, those of other stems are dropped, and
+        the few left join the tokens, so no more than the hits leaves the scan."""
+        tokens = positions(documents, self.analyzer)
+        words = stemmed(tokens.select("term").distinct()).filter(F.col("stem").isin(sorted(set(terms))))
+        return tokens.join(broadcast_if_small(materialize(words), 200_000), "term").select("doc_id", "pos", F.col("stem").alias("term"))

@@ -85,6 +85,11 @@ def inverted_lists(documents: DataFrame, analyzer: Analyzer = standard) -> DataF
     return distinct.groupBy("segment_id", "term").agg(F.sort_array(F.collect_list("local_id")).alias("doc_ids"))
 
 
+def segment_df(documents: DataFrame, analyzer: Analyzer = standard) -> DataFrame:
+    """``(segment_id, term, df)`` for segmented documents; counted, no list is built."""
+    return documents.select("segment_id", F.explode(F.array_distinct(analyzer(F.col("text")))).alias("term")).groupBy("segment_id", "term").agg(F.count("*").alias("df"))
+
+
 def encoded_lists(lists: DataFrame) -> DataFrame:
     """``(segment_id, term, delta_hex, fixed_hex)`` of inverted lists."""
     return lists.select("segment_id", "term", codec.delta_vbyte_hex(F.col("doc_ids")).alias("delta_hex"), codec.fixed_hex(F.col("doc_ids")).alias("fixed_hex"))
@@ -92,4 +97,5 @@ def encoded_lists(lists: DataFrame) -> DataFrame:
 
 def write_postings(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Segment files: one folder for each segment, terms in order, so a term's filter skips row groups."""
-    rows.repartition("segment_id", "term").sortWithinPartitions("segment_id", "term", "doc_id").write.mode(mode).partitionBy("segment_id").parquet(path)
+    # Ranges, not hashes: a term that many documents hold is spread over several files.
+    rows.repartitionByRange("segment_id", "term", "doc_id").sortWithinPartitions("segment_id", "term", "doc_id").write.mode(mode).partitionBy("segment_id").parquet(path)

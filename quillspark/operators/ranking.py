@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import Analyzer, standard
+from quillspark.functions.porter import Stemming
 from quillspark.operators.search import query_terms
 from quillspark.runtime import broadcast_if_small, materialize, small
 
@@ -32,14 +33,39 @@ def tfidf(documents: DataFrame, keywords: list[str], analyzer: Analyzer = standa
         return F.size(F.filter(F.col("_t"), lambda x: x == t))
 
     tf = [tf_of(t) for t in terms]
-    rows = materialize(documents.select(*keep, "doc_id", tokens.alias("_t")).select(*keep, "doc_id", *(c.alias(f"_tf{k}") for k, c in enumerate(tf))))
-    stats = rows.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
-    idf = [log10(stats.n / stats[f"df{k}"]) if stats[f"df{k}"] else 0.0 for k in range(len(terms))]
-    dot, square, found = F.lit(0.0), F.lit(0.0), F.lit(False)
+    n = documents.count()  # from the files' own counts; only hits are kept
+    hits = documents.select(*keep, "doc_id", tokens.alias("_t")).filter(F.size("_t") > 0)
+    rows = materialize(hits.select(*keep, "doc_id", *(c.alias(f"_tf{k}") for k, c in enumerate(tf))))
+    stats = rows.agg(*(F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(terms)))).first()
+    idf = [log10(n / stats[f"df{k}"]) if stats[f"df{k}"] else 0.0 for k in range(len(terms))]
+    dot, square = F.lit(0.0), F.lit(0.0)
     for k, t in enumerate(terms):
         w = F.col(f"_tf{k}") * F.lit(idf[k])
-        dot, square, found = dot + w * F.lit(counts[t] * idf[k]), square + w * w, found | (F.col(f"_tf{k}") > 0)
-    return rows.filter(found).select(*keep, "doc_id", F.when(square > 0, dot / F.sqrt(square)).otherwise(0.0).alias("score"))
+        dot, square = dot + w * F.lit(counts[t] * idf[k]), square + w * w
+    return rows.select(*keep, "doc_id", F.when(square > 0, dot / F.sqrt(square)).otherwise(0.0).alias("score"))
+
+
+def query_weights(found: DataFrame, counts: Counter, n_docs: int) -> dict[str, tuple[int, float]]:
+    """term -> (its count in the query, idf) of the query's terms that ``found(term, doc_id, tf)`` holds."""
+    return {r.term: (counts[r.term], log10(n_docs / r.n)) for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}
+
+
+def of_postings(found: DataFrame, weights: dict[str, tuple[int, float]]) -> DataFrame:
+    """``(doc_id, score)`` from the postings of a query's terms alone, one row for each term and document."""
+    n, idf = F.lit(0), F.lit(0.0)
+    for t, (count, value) in weights.items():
+        n, idf = F.when(F.col("term") == t, count).otherwise(n), F.when(F.col("term") == t, value).otherwise(idf)
+    parts = found.select("doc_id", (F.col("tf") * idf).alias("_v"), (n * idf).alias("_q"))
+    sums = parts.groupBy("doc_id").agg(F.sum(F.col("_v") * F.col("_q")).alias("_dot"), F.sum(F.col("_v") * F.col("_v")).alias("_square"))
+    return sums.select("doc_id", F.when(F.col("_square") > 0, F.col("_dot") / F.sqrt("_square")).otherwise(0.0).alias("score"))
+
+
+def tfidf_stemmed(documents: DataFrame, keywords: list[str], analyzer: Analyzer = standard) -> DataFrame:
+    """``tfidf`` with tokens and query words stemmed."""
+    stemming = Stemming(analyzer)
+    counts = Counter(stemming.query(documents.sparkSession, keywords))
+    found = materialize(stemming.places(documents, list(counts)).groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
+    return of_postings(found, query_weights(found, counts, documents.count()))
 
 
 def top(scored: DataFrame, k: int | None) -> DataFrame:

@@ -58,8 +58,9 @@ def posting_and(postings: DataFrame, terms: list[str]) -> DataFrame:
     """AND over an index: the filter on terms reaches the scan, and one count for each document is shuffled."""
     if not terms:
         return postings.select("doc_id").filter(F.lit(False))
-    hits = postings.filter(F.col("term").isin(terms)).groupBy("doc_id").agg(F.bit_or(sum((F.when(F.col("term") == t, 1 << k).otherwise(0) for k, t in enumerate(sorted(set(terms)))), F.lit(0))).alias("seen"))
-    return hits.filter(F.col("seen") == (1 << len(set(terms))) - 1).select("doc_id")
+    once = sorted(set(terms))
+    hits = postings.filter(F.col("term").isin(once)).groupBy("doc_id").agg(F.collect_set("term").alias("seen"))  # at most the terms of the query
+    return hits.filter(F.size("seen") == len(once)).select("doc_id")
 
 
 def posting_or(postings: DataFrame, terms: list[str]) -> DataFrame:
@@ -89,13 +90,17 @@ def phrase(documents: DataFrame, words: list[str], analyzer: Analyzer = standard
 
 
 def posting_phrase(postings: DataFrame, terms: list[str]) -> DataFrame:
-    """A phrase over positional postings: starts implied by each word's places meet by document and start."""
+    """A phrase over positional postings, ``(term, doc_id, positions)`` or ``(term, doc_id, pos)``: starts implied by each
+    word's places meet by document and start."""
     if not terms:
         return postings.select("doc_id").filter(F.lit(False))
     slots = F.lit(None).cast("array<int>")
     for t in set(terms):
         slots = F.when(F.col("term") == t, F.array(*(F.lit(k) for k, x in enumerate(terms) if x == t))).otherwise(slots)
-    hits = postings.filter(F.col("term").isin(terms)).select("doc_id", F.explode("positions").alias("pos"), slots.alias("slots")).select("doc_id", "pos", F.explode("slots").alias("k"))
+    hits = postings.filter(F.col("term").isin(terms))
+    if "positions" in postings.columns:
+        hits = hits.select("doc_id", "term", F.explode("positions").alias("pos"))
+    hits = hits.select("doc_id", "pos", F.explode(slots).alias("k")).distinct()
     starts = hits.groupBy("doc_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("n"))
     return starts.filter(F.col("n") == len(terms)).select("doc_id").distinct()
 

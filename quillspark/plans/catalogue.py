@@ -155,7 +155,7 @@ def num_docs_per_segment(spark, d):
 
 @query(f"WITH {SEG}, {SEGTOK} SELECT segment_id, term, count(*) AS df FROM segtok GROUP BY ALL")
 def df_per_segment(spark, d):
-    return index.inverted_lists(index.flushed(docs(spark, d), FLUSH)).select("segment_id", "term", F.size("doc_ids").cast("long").alias("df"))
+    return index.segment_df(index.flushed(docs(spark, d), FLUSH))
 
 
 @query(f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY ALL")
@@ -273,8 +273,41 @@ def search_phrase_repeat(spark, d):
 @query(_phrase(["is", "in", "the"], "tok AS (SELECT DISTINCT doc_id, term, pos FROM inverted_index)"))
 def index_search_phrase(spark, d):
     places = table(spark, d, "inverted_index", "term", "doc_id", "pos").filter(F.col("term").isin("is", "in", "the"))
-    rows = places.groupBy("term", "doc_id").agg(F.collect_set("pos").alias("positions"))
-    return search.posting_phrase(rows, ["is", "in", "the"])
+    return search.posting_phrase(places, ["is", "in", "the"])
+
+
+STOK = f"{TOK}, st AS ({porter.duckdb_sql('SELECT DISTINCT term FROM tok')}), stok AS (SELECT doc_id, pos, stem AS term FROM tok JOIN st USING (term))"
+
+
+def _stems(*words: str) -> str:
+    """The stems of words, told by the other dialect's own cascade."""
+    return "(SELECT stem FROM (" + porter.duckdb_sql("SELECT unnest([" + quoted(words) + "]) AS term") + "))"
+
+
+def _places(spark, d, words: list[str]):
+    stemming = porter.Stemming()
+    terms = stemming.query(spark, words)
+    return stemming.places(docs(spark, d), terms), terms
+
+
+@query(f"WITH {STOK} SELECT DISTINCT doc_id FROM stok WHERE term IN {_stems('surveys')}")
+def search_keyword_stemmed(spark, d):
+    return search.posting_or(*_places(spark, d, ["Surveys"]))
+
+
+@query(f"WITH {STOK} SELECT doc_id FROM stok WHERE term IN {_stems('result', 'rooms', 'survey')} GROUP BY doc_id HAVING count(DISTINCT term) = 3")
+def search_and_stemmed(spark, d):
+    return search.posting_and(*_places(spark, d, ["result", "rooms", "survey", "of", "results"]))
+
+
+@query(f"WITH {STOK} SELECT DISTINCT doc_id FROM stok WHERE term IN {_stems('visiting', 'tested')}")
+def search_or_stemmed(spark, d):
+    return search.posting_or(*_places(spark, d, ["visiting", "tested", "the"]))
+
+
+@query(f"WITH {STOK} SELECT DISTINCT a.doc_id FROM stok a JOIN stok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.term IN {_stems('terms')} AND b.term IN {_stems('use')}")
+def search_phrase_stemmed(spark, d):
+    return search.posting_phrase(*_places(spark, d, ["term", "of", "using"]))
 
 
 @query(f"SELECT doc_id FROM documents WHERE NOT ({_holding('survey')})")
@@ -321,6 +354,15 @@ def tfidf_topk_per_segment(spark, d):
     return ranking.top_per_segment(scored.withColumn("score", F.round("score", 6)), 3)
 
 
+@query(
+    "WITH " + RANKED.strip().replace(TOK, STOK).replace("FROM tok WHERE term IN (SELECT term FROM q)", "FROM stok WHERE term IN (SELECT term FROM q)")
+    .replace("q AS (SELECT * FROM (VALUES ('results', 2), ('room', 1), ('survey', 1)) AS v(term, n))", f"q AS (SELECT stem AS term, count(*) AS n FROM ({porter.duckdb_sql('SELECT unnest([' + quoted(QUERY) + ']) AS term')}) GROUP BY ALL)")
+    + " SELECT doc_id, round(score, 6) AS score FROM scored"
+)
+def tfidf_stemmed(spark, d):
+    return ranking.tfidf_stemmed(docs(spark, d), QUERY).withColumn("score", F.round("score", 6))
+
+
 # Link graph
 
 EDGES = "e AS (SELECT link_id, any_value(src) AS src, any_value(dst) AS dst FROM id_graph GROUP BY link_id), nodes AS (SELECT DISTINCT id FROM url_map WHERE id IS NOT NULL)"
