@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import analysis, codec, porter, wordbreak
-from quillspark.operators import hotkeys, index, orphans, ranking, search
-from quillspark.runtime import materialize, table
+from quillspark.operators import handle, hotkeys, index, orphans, ranking, search
+from quillspark.runtime import materialize, own_folder, table
 from quillspark.sources import docstore
 
 FLUSH, MERGE = 100, 8
@@ -316,6 +316,68 @@ def documents_deleted(spark, d):
     return search.deleted(rows, search.keyword(rows, "survey")).select("doc_id")
 
 
+# An index that is written, opened and queried
+
+MERGED_SEG = "seg AS (" + MERGED.strip() + "), segpos AS (SELECT segment_id, local_id, doc_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM (SELECT segment_id, local_id, doc_id, " + KEPT + " AS ts FROM seg JOIN documents USING (doc_id)) WHERE len(ts) > 0)"
+
+
+def _opened(spark, d, **settings) -> handle.Index:
+    """An index over all documents, added in two parts, and opened anew."""
+    path, rows = own_folder(spark), docs(spark, d)
+    half = rows.count() // (2 * FLUSH) * FLUSH  # a whole number of segments, so that the layout is that of one part
+    parts = docstore.numbered(rows, "doc_id")
+    made = handle.Index.create(spark, path, handle.Settings(flush=FLUSH, merge=MERGE, **settings))
+    made.add(parts.filter(F.col("ordinal") < half)).add(parts.filter(F.col("ordinal") >= half))
+    return handle.Index.open(spark, path)
+
+
+@query(f"WITH {MERGED_SEG} SELECT CAST(max(segment_id) + 1 AS BIGINT) AS n_segments, count(*) AS n_docs FROM seg")
+def num_segments(spark, d):
+    opened = _opened(spark, d, positional=False)
+    return spark.createDataFrame([(opened.num_segments(), opened.size())], "n_segments long, n_docs long")
+
+
+@query(f"WITH {MERGED_SEG} SELECT segment_id, local_id, term, CAST(count(*) AS INTEGER) AS tf FROM segpos GROUP BY ALL")
+def segments_merged_postings(spark, d):
+    """Postings as they stand in the segments after all merges."""
+    return _opened(spark, d, positional=False).postings().select("segment_id", "local_id", "term", "tf")
+
+
+@query(f"WITH {MERGED_SEG} SELECT term, doc_id, string_agg(pos, ' ' ORDER BY pos) AS positions FROM segpos WHERE segment_id = 1 GROUP BY ALL")
+def segment_positional(spark, d):
+    """One segment's lists with places, read sequentially."""
+    opened = _opened(spark, d)
+    if opened.num_segments() < 2:
+        return spark.createDataFrame([], "term string, doc_id long, positions string")
+    return opened.postings(1).select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+@query(f"WITH {MERGED_SEG}, m AS (SELECT CAST(segment_id // 2 AS INTEGER) AS segment_id, segment_id AS old, local_id, doc_id FROM seg) SELECT m.segment_id, m.local_id + CASE WHEN old % 2 = 1 THEN (SELECT count(*) FROM seg s WHERE s.segment_id = old - 1) ELSE 0 END AS local_id, m.doc_id, text FROM m JOIN documents USING (doc_id)")
+def segments_merged_documents(spark, d):
+    """Documents of the segments after one more merge of all of them."""
+    return _opened(spark, d, positional=False).merge_all().documents()
+
+
+@query(f"WITH {TOK} SELECT DISTINCT doc_id FROM tok WHERE term = 'survey'")
+def opened_keyword(spark, d):
+    return _opened(spark, d, positional=False).keyword("Survey")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM tok WHERE term IN ('results', 'room', 'survey') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
+def opened_and(spark, d):
+    return _opened(spark, d, positional=False).all_of(["results", "room", "of", "survey", "room"])
+
+
+@query(f"WITH {STOK} SELECT DISTINCT doc_id FROM stok WHERE term IN {_stems('visiting', 'tested')}")
+def opened_or_stemmed(spark, d):
+    return _opened(spark, d, stemmed=True).any_of(["visiting", "tested", "the"])
+
+
+@query(_phrase(["staff", "login"]))
+def opened_phrase(spark, d):
+    return _opened(spark, d).phrase(["staff", "login"])
+
+
 # Ranking
 
 RANKED = f"""
@@ -336,6 +398,12 @@ def tfidf_all(spark, d):
     return _scored(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {RANKED} SELECT doc_id, round(score, 6) AS score FROM scored")
+def opened_tfidf(spark, d):
+    """The same from written postings: no text is read."""
+    return _opened(spark, d, positional=False).tfidf(QUERY).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {RANKED}, t AS (SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 10) SELECT t.doc_id, t.score, d.text FROM t JOIN documents d USING (doc_id)")
 def tfidf_topk(spark, d):
     """The ten best documents of the query; texts join after the limit."""

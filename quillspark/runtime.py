@@ -65,15 +65,21 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     The table is removed at the end of the ``scope`` around the call, else when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}"
+    path = own_folder(spark)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    _WRITTEN.append((spark, path))
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one, removed like the tables of ``materialize``."""
+    path = f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the input folder, with only the columns named."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

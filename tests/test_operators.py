@@ -220,3 +220,36 @@ def test_intermediate_tables(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         runtime.shared_dir(Cluster)
+
+
+def test_index_handle(spark, tmp_path):
+    from quillspark.operators.handle import Index, Settings
+
+    path = str(tmp_path / "index")
+    texts = ["the tests, cases appeared", "a case", None, "", "test of the case", "cat dog cat", "dog", "cat dog cat"]
+    Index.create(spark, path, Settings(stemmed=True, flush=2, merge=4))
+    made = Index.open(spark, path)
+    assert made.num_segments() == made.size() == 0 and made.keyword("cat").count() == made.tfidf(["cat"]).count() == 0
+    made.add(table(spark, texts[:5]))
+    assert [n for _, n in made.segments] == [2, 2, 1] and made.num_segments() == 3
+    later = spark.createDataFrame([(5 + k, t, "clash") for k, t in enumerate(texts[5:])] + [(None, "cat", "x")], "doc_id long, text string, term string")
+    made.add(later)
+    again = Index.open(spark, path)
+    assert again.segments == made.segments and again.settings == made.settings
+    assert [n for _, n in again.segments] == [4, 3, 1] and again.size() == 8
+    assert sorted((r.segment_id, r.local_id, r.doc_id, r.text) for r in again.documents().collect()) == [(0 if k < 4 else 1 if k < 7 else 2, k if k < 4 else k - 4 if k < 7 else 0, k, t) for k, t in enumerate(texts)]
+    assert sorted((r.term, r.local_id, r.tf, r.positions) for r in again.postings(1).collect()) == [("case", 0, 1, [1]), ("cat", 1, 2, [0, 2]), ("dog", 1, 1, [1]), ("dog", 2, 1, [0]), ("test", 0, 1, [0])]
+    assert ids(again.keyword("Cats")) == [5, 7] and ids(again.any_of(["cases", "dogs"])) == [0, 1, 4, 5, 6, 7]
+    assert ids(again.all_of(["dog", "the", "cats"])) == [5, 7] and ids(again.phrase(["testing", "cases"])) == [0, 4] and ids(again.phrase(["the"])) == []
+    merged = again.merge_all()
+    assert [n for _, n in merged.segments] == [7, 1] and ids(merged.phrase(["cat", "dog", "cat"])) == [5, 7]
+    one = [(r.doc_id, round(r.score, 9)) for r in merged.tfidf(["cat", "dogs"], 2).collect()]
+    assert one == [(r.doc_id, round(r.score, 9)) for r in ranking.top(ranking.tfidf_stemmed(table(spark, texts), ["cat", "dogs"]), 2).collect()]
+    plan = merged.seek(["cat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(term,cat)" in plan
+    with pytest.raises(IndexError):
+        merged.postings(2)
+    with pytest.raises(NotImplementedError):
+        Index.create(spark, str(tmp_path / "plain"), Settings(positional=False)).phrase(["cat"])
+    with pytest.raises(ValueError):
+        Index.create(spark, str(tmp_path / "odd"), Settings(merge=3))
