@@ -7,8 +7,11 @@ gives null; a falling value raises an error, as its gap has no code.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gaps(values: Column) -> Column:
@@ -36,22 +39,36 @@ def delta_vbyte(values: Column) -> Column:
     return F.unhex(delta_vbyte_hex(values))
 
 
-def _bytes(code_hex: Column) -> Column:
-    n = (F.length(code_hex) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(code_hex, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+def _decoded(code: bytes) -> np.ndarray:
+    data = np.frombuffer(code, np.uint8)
+    ends = np.flatnonzero(data < 128)
+    if len(data) and (not len(ends) or ends[-1] != len(data) - 1):
+        raise ValueError("the code ends within a gap")
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    place = np.repeat(ends, ends - starts + 1) - np.arange(len(data))
+    return np.cumsum(np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts))
 
 
-def delta_vbyte_decode(code: Column) -> Column:
-    """Values behind ``code`` (binary); a slice at a gap's start decodes with its deltas starting anew."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("last"))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _decode(codes: pd.Series) -> pd.Series:
+    return codes.map(lambda c: None if c is None else _decoded(c), na_action=None)
 
-    def step(s: Column, b: Column) -> Column:
-        gap = F.shiftleft(s["gap"], 7) + b.bitwiseAND(F.lit(127))
-        more = F.struct(s["out"].alias("out"), gap.alias("gap"), s["last"].alias("last"))
-        done = F.struct(F.array_append(s["out"], s["last"] + gap).alias("out"), F.lit(0).cast("long").alias("gap"), (s["last"] + gap).alias("last"))
-        return F.when(b >= 128, more).otherwise(done)
 
-    return F.aggregate(_bytes(F.hex(code)), start, step, lambda s: s["out"])
+def delta_vbyte_decode(code: Column, start: int | Column = 0, length: int | Column | None = None) -> Column:
+    """Values behind ``code`` (binary), or behind its ``length`` bytes from byte ``start``, which must begin a gap: a slice
+    decodes with its deltas starting anew. Time grows with the bytes; a fold of built-in functions would copy its list for
+    each value."""
+    if length is not None:
+        code = F.substring(code, _plus_one(start), length)
+    elif not isinstance(start, int) or start:
+        code = F.substring(code, _plus_one(start), F.octet_length(code))
+    return _decode(code)
+
+
+def _plus_one(start: int | Column):
+    return F.lit(start + 1) if isinstance(start, int) else start + 1
 
 
 def fixed_hex(values: Column) -> Column:

@@ -1,6 +1,6 @@
 """An index one can open, add to, merge and query: written segments bound to an analyzer.
 
-A segment is two sorted Parquet tables in a folder of its own, postings ``(term, local_id, doc_id, tf[, positions])`` and
+A segment is two sorted Parquet tables, each in a folder of the segment's own, postings ``(term, local_id, doc_id, tf[, positions])`` and
 documents ``(local_id, doc_id, text)``. A manifest, written anew by each change, names the live segments in order, so a
 change that fails leaves the index as it was, and readers keep the manifest they opened. Merging reads written
 postings: ids of the second segment follow those of the first, and no text is analysed again.
@@ -73,8 +73,9 @@ class Index:
         old = {f for f, _ in self.segments} - {f for f, _ in segments}
         self.version, self.segments = self.version + 1, segments
         for f in old:
-            files, folder = _folder(self.spark, f"{self.path}/segments/{f}")
-            files.delete(folder, True)
+            for what in ("documents", "postings"):
+                files, folder = _folder(self.spark, f"{self.path}/{what}/folder={f}")
+                files.delete(folder, True)
 
     # Reading
 
@@ -89,8 +90,9 @@ class Index:
             raise IndexError(f"segment {only} of {len(self.segments)}")
         out = None
         for k, (f, _) in enumerate(self.segments):
-            if only in (None, k):
-                one = self.spark.read.schema(schema).parquet(f"{self.path}/segments/{f}/{what}").select(F.lit(k).alias("segment_id"), "*")
+            files, folder = _folder(self.spark, f"{self.path}/{what}/folder={f}")
+            if only in (None, k) and files.exists(folder):  # documents without any term leave no postings
+                one = self.spark.read.schema(schema).parquet(f"{self.path}/{what}/folder={f}").select(F.lit(k).alias("segment_id"), "*")
                 out = one if out is None else out.unionByName(one)
         return out if out is not None else self.spark.createDataFrame([], f"segment_id int, {schema}")
 
@@ -155,17 +157,12 @@ class Index:
             # One small row for each source: chunks of this call and live segments.
             to = self.spark.createDataFrame([(k, a, f) for k, a, _, f in moved[kind]], "chunk int, _shift long, folder string")
             parts[what].append(rows.join(F.broadcast(to), "chunk").withColumn("local_id", F.col("local_id") + F.col("_shift")).drop("chunk", "_shift"))
-        written = {}
         for what, order in (("documents", ["local_id"]), ("postings", ["term", "local_id"])):
             if parts[what]:
                 rows = parts[what][0] if len(parts[what]) == 1 else parts[what][0].unionByName(parts[what][1])
                 # Ranges spread a term that many documents hold over several files, each with its own bounds.
-                written[what] = materialize(rows.repartitionByRange("folder", *order).sortWithinPartitions("folder", *order))
-        for folder in dict.fromkeys(f for kind in moved.values() for *_, f in kind):
-            for what, rows in written.items():
-                one = rows.filter(F.col("folder") == folder).drop("folder")
-                order = ["local_id"] if what == "documents" else ["term", "local_id"]
-                one.sortWithinPartitions(*order).write.parquet(f"{self.path}/segments/{folder}/{what}")
+                rows = rows.repartitionByRange("folder", *order).sortWithinPartitions("folder", *order)
+                rows.write.mode("append").partitionBy("folder").parquet(f"{self.path}/{what}")
         self._commit(segments)
         return self
 

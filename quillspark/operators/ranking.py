@@ -134,7 +134,7 @@ def blended(scored: DataFrame, ranks: DataFrame, weight: float, k: int | None) -
 
 def ranked_queries(documents: DataFrame, queries: DataFrame, ranks: DataFrame, analyzer: Analyzer = standard, default_k: int = 5) -> DataFrame:
     """``(query_id, doc_id, score)``: the first ``top_k`` documents of every row of ``queries(query_id, terms, top_k,
-    page_rank_weight)`` by the blended score to six places, then id; null: ``default_k`` and 1.
+    page_rank_weight)`` by the blended score, then id; null: ``default_k`` and 1.
 
     The documents are read once for all queries; only tokens that some query has leave the scan.
     """
@@ -150,7 +150,7 @@ def ranked_queries(documents: DataFrame, queries: DataFrame, ranks: DataFrame, a
     scored = sums.select("query_id", "doc_id", F.when(F.col("_square") > 0, F.col("_dot") / F.sqrt("_square")).otherwise(0.0).alias("score"))
     asked = queries.select("query_id", F.coalesce("top_k", F.lit(default_k)).alias("_k"), F.coalesce("page_rank_weight", F.lit(1.0)).alias("_weight"))
     both = scored.join(ranks.select(F.col("id").alias("doc_id"), F.col("score").alias("_pr")), "doc_id", "left").join(broadcast_if_small(asked, 500_000), "query_id")
-    both = both.withColumn("score", F.round(F.col("score") + F.col("_weight") * F.coalesce("_pr", F.lit(0.0)), 6))
+    both = both.withColumn("score", F.round(F.col("score") + F.col("_weight") * F.coalesce("_pr", F.lit(0.0)), 12))
     most = asked.agg(F.max("_k")).first()[0] or 0  # a fixed bound lets each task keep the first rows of a query only
     first = both.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("_rn") <= most)
-    return first.filter(F.col("_rn") <= F.col("_k")).select("query_id", "doc_id", "score")
+    return first.filter(F.col("_rn") <= F.col("_k")).select("query_id", "doc_id", F.round("score", 6).alias("score"))

@@ -393,6 +393,15 @@ def _scored(spark, d):
     return ranking.tfidf(docs(spark, d), QUERY)
 
 
+def _even(score: str = "score"):
+    """Scores to 12 places, which levels the last bits of sums that add up in another order: equal scores stay ties."""
+    return F.round(score, 12)
+
+
+def _first(scored: DataFrame, k: int = 10) -> DataFrame:
+    return ranking.top(scored.withColumn("score", _even()), k).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {RANKED} SELECT doc_id, round(score, 6) AS score FROM scored")
 def tfidf_all(spark, d):
     return _scored(spark, d).withColumn("score", F.round("score", 6))
@@ -404,22 +413,21 @@ def opened_tfidf(spark, d):
     return _opened(spark, d, positional=False).tfidf(QUERY).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {RANKED}, t AS (SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 10) SELECT t.doc_id, t.score, d.text FROM t JOIN documents d USING (doc_id)")
+@query(f"WITH {RANKED}, t AS (SELECT doc_id, score FROM scored ORDER BY round(score, 12) DESC, doc_id LIMIT 10) SELECT t.doc_id, round(t.score, 6) AS score, d.text FROM t JOIN documents d USING (doc_id)")
 def tfidf_topk(spark, d):
     """The ten best documents of the query; texts join after the limit."""
-    first = ranking.top(_scored(spark, d).withColumn("score", F.round("score", 6)), 10)
-    return docs(spark, d).join(F.broadcast(first), "doc_id").select("doc_id", "score", "text")
+    return docs(spark, d).join(F.broadcast(_first(_scored(spark, d))), "doc_id").select("doc_id", "score", "text")
 
 
-@query(f"WITH {RANKED.replace(chr(39) + 'results' + chr(39) + ', 2', chr(39) + 'results' + chr(39) + ', 1')} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
+@query(f"WITH {RANKED.replace(chr(39) + 'results' + chr(39) + ', 2', chr(39) + 'results' + chr(39) + ', 1')} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 12) DESC, doc_id LIMIT 10")
 def tfidf_single_query(spark, d):
-    return ranking.top(ranking.tfidf(docs(spark, d), ["results", "room", "the", "survey"]).withColumn("score", F.round("score", 6)), 10)
+    return _first(ranking.tfidf(docs(spark, d), ["results", "room", "the", "survey"]))
 
 
-@query(f"WITH {SEG}, {RANKED} SELECT segment_id, doc_id, round(score, 6) AS score FROM scored JOIN seg USING (doc_id) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY round(score, 6) DESC, doc_id DESC) <= 3")
+@query(f"WITH {SEG}, {RANKED} SELECT segment_id, doc_id, round(score, 6) AS score FROM scored JOIN seg USING (doc_id) QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY round(score, 12) DESC, doc_id DESC) <= 3")
 def tfidf_topk_per_segment(spark, d):
     scored = ranking.tfidf(index.flushed(docs(spark, d), FLUSH), QUERY, keep=("segment_id",))
-    return ranking.top_per_segment(scored.withColumn("score", F.round("score", 6)), 3)
+    return ranking.top_per_segment(scored.withColumn("score", _even()), 3).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -433,7 +441,7 @@ def tfidf_stemmed(spark, d):
 
 # Link graph
 
-EDGES = "e AS (SELECT link_id, any_value(src) AS src, any_value(dst) AS dst FROM id_graph GROUP BY link_id), nodes AS (SELECT DISTINCT id FROM url_map WHERE id IS NOT NULL)"
+EDGES = "e AS (SELECT link_id, src, dst FROM id_graph QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY loaded_at DESC NULLS LAST, src DESC NULLS LAST, dst DESC NULLS LAST) = 1), nodes AS (SELECT DISTINCT id FROM url_map WHERE id IS NOT NULL)"
 GOOD = "g AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"
 RANK = f"""
 WITH RECURSIVE {EDGES}, {GOOD}, w AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS w FROM g GROUP BY src, dst),
@@ -445,8 +453,9 @@ r AS (SELECT 0 AS k, id, CAST(1.0 AS DOUBLE) AS rank FROM nodes
 
 
 def _edges(spark, d):
-    """Each link once, however often its line was delivered."""
-    return table(spark, d, "id_graph", "link_id", "src", "dst").groupBy("link_id").agg(F.first("src").cast("long").alias("src"), F.first("dst").cast("long").alias("dst")).select("src", "dst")
+    """Each link once, by the line that was loaded last."""
+    lines = table(spark, d, "id_graph", "link_id", "src", "dst", "loaded_at").groupBy("link_id").agg(F.max(F.struct("loaded_at", "src", "dst")).alias("last"))
+    return lines.select(F.col("last.src").cast("long").alias("src"), F.col("last.dst").cast("long").alias("dst"))
 
 
 def _ranks(spark, d):
@@ -473,13 +482,13 @@ def pagerank_scores(spark, d):
 
 def _blend(weight: float) -> str:
     return RANK.replace("WITH RECURSIVE ", f"WITH RECURSIVE {RANKED.strip()}, ") + (
-        f"SELECT doc_id, round(scored.score + {weight} * coalesce(p.score, 0), 6) AS score FROM scored LEFT JOIN ({SCORES}) p ON p.id = doc_id ORDER BY round(scored.score + {weight} * coalesce(p.score, 0), 6) DESC, doc_id LIMIT 10"
+        f"SELECT doc_id, round(scored.score + {weight} * coalesce(p.score, 0), 6) AS score FROM scored LEFT JOIN ({SCORES}) p ON p.id = doc_id ORDER BY round(scored.score + {weight} * coalesce(p.score, 0), 12) DESC, doc_id LIMIT 10"
     )
 
 
 def _blended(spark, d, weight):
     both = ranking.blended(_scored(spark, d), ranking.page_rank_scores(_ranks(spark, d)), weight, None)
-    return ranking.top(both.withColumn("score", F.round("score", 6)), 10)
+    return _first(both)
 
 
 @query(_blend(2.0))
@@ -487,7 +496,7 @@ def search_blended(spark, d):
     return _blended(spark, d, 2.0)
 
 
-@query(f"WITH {RANKED} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
+@query(f"WITH {RANKED} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 12) DESC, doc_id LIMIT 10")
 def search_blended_w0(spark, d):
     return _blended(spark, d, 0.0)
 
@@ -497,8 +506,8 @@ q AS (SELECT query_id, term, count(*) AS n FROM (SELECT query_id, ({KEPT})[1] AS
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 idf AS (SELECT term, log10((SELECT count(*) FROM documents) / count(*)) AS idf FROM tf GROUP BY term),
 scored AS (SELECT query_id, doc_id, CASE WHEN sum(tf * idf * tf * idf) > 0 THEN sum(tf * idf * q.n * idf) / sqrt(sum(tf * idf * tf * idf)) ELSE 0.0 END AS score FROM tf JOIN idf USING (term) JOIN q USING (term) GROUP BY ALL),
-""") + f"""SELECT query_id, doc_id, score FROM (
-  SELECT query_id, doc_id, top_k, round(scored.score + coalesce(page_rank_weight, 1) * coalesce(p.score, 0), 6) AS score
+""") + f"""SELECT query_id, doc_id, round(score, 6) AS score FROM (
+  SELECT query_id, doc_id, top_k, round(scored.score + coalesce(page_rank_weight, 1) * coalesce(p.score, 0), 12) AS score
   FROM scored JOIN search_queries USING (query_id) LEFT JOIN ({SCORES}) p ON p.id = doc_id
 ) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= coalesce(top_k, 5)"""
 
@@ -579,11 +588,15 @@ def p6_report(spark, d):
     return p6_found(spark, d).groupBy("end_name", "kind", "period").agg(F.count("*").alias("n"))
 
 
+LIVE = "(SELECT id FROM url_map WHERE id IS NOT NULL AND removed_at IS NULL)"
+
+
 def _direct(child: str, column: str, parent: str, key: str, dated: str | None) -> str:
     period = f"coalesce(strftime({dated}, '%Y-%m'), 'unknown')" if dated else "'unknown'"
+    known = LIVE if parent == "url_map" else f"(SELECT {key} FROM {parent} WHERE {key} IS NOT NULL)"
     return (
         f"SELECT '{child}' AS table_name, '{column}' AS reference, {period} AS period, 'direct' AS state, count(*) AS n FROM {child} "
-        f"WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent} WHERE {key} IS NOT NULL) GROUP BY ALL HAVING count(*) > 0"
+        f"WHERE {column} IS NOT NULL AND {column} NOT IN {known} GROUP BY ALL HAVING count(*) > 0"
     )
 
 
@@ -591,7 +604,7 @@ def _inherited(child: str, dated: str | None) -> str:
     period = f"coalesce(strftime({dated}, '%Y-%m'), 'unknown')" if dated else "'unknown'"
     return (
         f"SELECT '{child}', 'doc_id', {period} AS period, 'inherited', count(*) AS n FROM {child} WHERE doc_id IN "
-        "(SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM url_map WHERE id IS NOT NULL)) GROUP BY ALL HAVING count(*) > 0"
+        f"(SELECT doc_id FROM documents WHERE doc_id NOT IN {LIVE}) GROUP BY ALL HAVING count(*) > 0"
     )
 
 
@@ -606,9 +619,10 @@ def _inherited(child: str, dated: str | None) -> str:
     )
 )
 def p6_cascade(spark, d):
+    """Pages that are gone leave their links and documents as orphans, and these their scores and postings."""
     entity = orphans.Entity
     tables = {
-        "url_map": entity(table(spark, d, "url_map", "id"), "id"),
+        "url_map": entity(table(spark, d, "url_map", "id", "removed_at").filter("removed_at IS NULL"), "id"),
         "documents": entity(table(spark, d, "documents", "doc_id", "loaded_at"), "doc_id", "loaded_at"),
         "search_queries": entity(table(spark, d, "search_queries", "query_id"), "query_id"),
         "id_graph": entity(table(spark, d, "id_graph", "src", "dst", "seen_at"), None, "seen_at"),

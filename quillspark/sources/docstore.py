@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.runtime import materialize
+
 SCHEMA = "doc_id long, text string"
 
 
@@ -26,8 +28,16 @@ class DocumentStore:
         self._write(documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "overwrite")
 
     def add(self, documents: DataFrame) -> None:
-        """Append documents of new ids."""
-        self._write(documents, "append")
+        """Put documents: a known id gets the new text, so an id is never there twice. Documents of new ids only, which is
+        measured, are appended; else the store is written anew."""
+        if self.read_only:
+            raise PermissionError("the store is read-only")
+        new = upsert(documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").limit(0), documents.filter("doc_id IS NOT NULL AND text IS NOT NULL"))
+        new = materialize(new)
+        if self.rows().join(new, "doc_id", "left_semi").isEmpty():
+            self._write(new, "append")
+        else:
+            self.bulk_load(materialize(upsert(self.rows(), new)))
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
@@ -73,8 +83,6 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     Rows are range-partitioned and written once; a row's place is its number in its partition plus the sizes of
     the partitions before, of which there is one small row each.
     """
-    from quillspark.runtime import materialize
-
     placed = materialize(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_row", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_row", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))

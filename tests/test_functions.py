@@ -81,6 +81,12 @@ def test_slices_decode_anew(spark):
     df = spark.createDataFrame([("0200" "8400" "8800",)], "h string")
     code = F.unhex(F.lit("82008400" + "8800"))
     assert df.select(codec.delta_vbyte_decode(code).alias("v")).first().v == [256, 768, 1792]
+    assert df.select(codec.delta_vbyte_decode(code, 2, 2).alias("v")).first().v == [512]
+    assert df.select(codec.delta_vbyte_decode(code, F.lit(2)).alias("v")).first().v == [512, 1536]
+    assert df.select(codec.delta_vbyte_decode(code, 2, 0).alias("v")).first().v == []
+    assert df.select(codec.delta_vbyte_decode(F.lit(None).cast("binary")).alias("v")).first().v is None
+    with pytest.raises(PySparkException):
+        df.select(codec.delta_vbyte_decode(code, 0, 1)).collect()
 
 
 def test_falling_values_are_an_error(spark):

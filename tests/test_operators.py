@@ -101,8 +101,12 @@ def test_document_store(spark, tmp_path):
     assert [r.doc_id for r in store.scan().collect()] == [0, 1, 9] and store.keys().columns == ["doc_id"]
     with pytest.raises(PermissionError):
         docstore.DocumentStore(spark, store.path, read_only=True).add(table(spark, ["x"]))
+    store.add(spark.createDataFrame([(9, "y"), (10, "ten"), (10, "ten"), (11, None), (None, "x")], "doc_id long, text string"))
+    assert store.size() == 4 and store.get(9).first().text == "y" and store.get(10).count() == 1
+    store.add(spark.createDataFrame([(9, "z")], "doc_id long, text string"))
+    store.add(spark.createDataFrame([], "doc_id long, text string"))
     new = docstore.upsert(store.rows(), spark.createDataFrame([(1, "new"), (2, "two")], "doc_id long, text string"))
-    assert {r.doc_id: r.text for r in new.collect()} == {0: "b", 1: "new", 2: "two", 9: "z"}
+    assert {r.doc_id: r.text for r in new.collect()} == {0: "b", 1: "new", 2: "two", 9: "z", 10: "ten"}
 
 
 def test_file_readers(spark, tmp_path):
