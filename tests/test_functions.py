@@ -15,25 +15,28 @@ def tokens(spark, analyzer, *texts):
 
 
 def test_punctuation_tokens(spark):
-    got = tokens(
-        spark, analysis.standard, "I am Happy Today!", "abc xy101\tinformation\nretrieval", "abc,xy101.information;retrieval?project!1", "abc~xy101/information>retrieval",
-        " Do ABC XY101:\tInformation Retrieval, project 1 by yourself.\n", "......I am not happy today!? , ) ;", "I don't like your! You are a fast man!", "", "  ", "!,", "the", " ,dog ,cat", None,
-    )
-    assert got == [
-        ["happy", "today"], ["abc", "xy101", "information", "retrieval"], ["abc", "xy101", "information", "retrieval", "project", "1"], ["abc~xy101/information>retrieval"],
-        ["abc", "xy101:", "information", "retrieval", "project", "1"], ["happy", "today", ")"], ["don't", "like", "fast", "man"], [], [], [], [], ["dog", "cat"], [],
-    ]
+    cases = {
+        "Ferry 7 leaves harbour;wharf,quay": ["ferry", "7", "leaves", "harbour", "wharf", "quay"],
+        "\tGLASS\n\nof\r\nWater?!": ["glass", "water"],
+        "e-mail@host:80 (draft) 50% #3": ["e-mail@host:80", "(draft)", "50%", "#3"],
+        "who's there": ["who's"],
+        "it, was. not; so? very! own": [],
+        "naïve ÉTÉ Ünder": ["naïve", "été", "ünder"],
+        "?bridge .tunnel": ["bridge", "tunnel"],
+        "": [], "   ": [], ";": [], None: [],
+    }
+    assert tokens(spark, analysis.standard, *cases) == list(cases.values())
 
 
 def test_stop_words_keep_order_and_repetitions(spark):
-    assert tokens(spark, analysis.standard, "dog the dog of cat dog") == [["dog", "dog", "cat", "dog"]]
+    assert tokens(spark, analysis.standard, "lamp over lamp under the desk, lamp") == [["lamp", "lamp", "desk", "lamp"]]
     assert len(analysis.STOP_WORDS) == 127
 
 
 def test_naive_tokens_and_positions(spark):
-    assert tokens(spark, analysis.naive, " The  Cat, sat. ", "") == [["the", "cat,", "sat."], []]
-    df = spark.createDataFrame([(1, "exclude stopwords add the nonexistkeywords"), (2, None)], "doc_id long, text string")
-    assert [(r.doc_id, r.pos, r.term) for r in analysis.positions(df).collect()] == [(1, 0, "exclude"), (1, 1, "stopwords"), (1, 2, "add"), (1, 3, "nonexistkeywords")]
+    assert tokens(spark, analysis.naive, " A  Kite, red. ", "") == [["a", "kite,", "red."], []]
+    df = spark.createDataFrame([(1, "maps of the old canals"), (2, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.pos, r.term) for r in analysis.positions(df).collect()] == [(1, 0, "maps"), (1, 1, "old"), (1, 2, "canals")]
 
 
 def test_first_lines(spark):
@@ -42,16 +45,16 @@ def test_first_lines(spark):
     assert [(r.i, r.u) for r in got] == [(12, "http://a"), (None, None), (None, None)]
 
 
+# Words and their stems by the published algorithm.
 STEMS = """caresses caress ponies poni cats cat agreed agre feed feed plastered plaster bled bled motoring motor sing sing conflated conflat
 hopping hop fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit
 vietnamization vietnam decisiveness decis sensibiliti sensibl triplicate triplic formative form formalize formal electrical electr hopeful hope
 goodness good revival reviv allowance allow airliner airlin replacement replac adoption adopt bowdlerize bowdler probate probat rate rate
-cease ceas controll control roll roll yes ye say sai is is sayyyed sayyi""".split()
+cease ceas controll control roll roll yes ye say sai is is""".split()
 
 
 def test_porter(spark):
     pairs = dict(zip(STEMS[::2], STEMS[1::2]))
-    pairs.pop("sayyyed")
     df = spark.createDataFrame([(w,) for w in [*pairs, ""]], "term string")
     got = {r.term: r.stem for r in porter.stemmed(df).collect()}
     assert got == pairs | {"": ""}
@@ -63,6 +66,7 @@ def test_stem_tokens_joins_back(spark):
         assert sorted((r.doc_id, r.pos, r.term) for r in porter.stem_tokens(df, limit).collect()) == [(1, 0, "cat"), (1, 1, "cat"), (2, 0, "hop")]
 
 
+# Lists and their codes.
 @pytest.mark.parametrize(
     ("values", "digits"),
     [

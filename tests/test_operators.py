@@ -3,11 +3,12 @@
 import random
 from collections import Counter, defaultdict
 from datetime import datetime as dt
+from math import log10
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import analysis, porter
+from quillspark.functions import porter
 from quillspark.operators import hotkeys, index, orphans, ranking, search
 from quillspark.sources import docstore, files
 
@@ -20,70 +21,107 @@ def ids(df):
     return sorted(r.doc_id for r in df.collect())
 
 
-def test_boolean_search(spark):
-    d = table(spark, ["cat dog toy", "cat Dot", "cat dot toy", "cat toy Dog", "toy dog cat", "cat Dog", None, ""])
-    assert ids(search.search_or(d, ["cat", "dog"])) == [0, 1, 2, 3, 4, 5]
-    assert ids(search.search_or(d, ["cat", "cat", "dog"])) == [0, 1, 2, 3, 4, 5]
-    assert ids(search.search_or(d, ["toy", "dog"])) == [0, 2, 3, 4, 5]
-    assert ids(search.search_or(d, ["unknown"])) == ids(search.search_or(d, [])) == ids(search.search_or(d, [""])) == []
-    assert ids(search.search_and(d, ["cat", "dog", "cat", "the"])) == [0, 3, 4, 5]
-    assert ids(search.search_and(d, [])) == ids(search.keyword(d, "the")) == []
-    assert ids(search.full_scan(d, "dog toy")) == ids(search.search_and(d, ["dog", "toy"])) == [0, 3, 4]
-    assert ids(search.full_scan(d, "")) == []
-    p = index.postings(d)
-    assert ids(search.posting_and(p, ["cat", "dog"])) == [0, 3, 4, 5] and ids(search.posting_or(p, ["dot", "dog"])) == [0, 1, 2, 3, 4, 5]
-    assert ids(search.deleted(d, search.keyword(d, "dog"))) == [1, 2, 6, 7]
-
-
-def test_phrases(spark):
-    d = table(spark, ["this is a test case", "the test, cases appeared", "I had a test last Friday which is the hardest case", "test of the case", "dog dog", "new york", "new york new york"])
-    stem = porter.stem_tokens(analysis.positions(d))
-    rows = stem.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    assert ids(search.posting_phrase(rows, ["test", "case"])) == [0, 1, 3]
-    assert ids(search.phrase(d, ["test", "case"])) == [0, 3]
-    p = index.postings(d)
-    for words, want in ((["apple", "dog"], []), (["new", "york", "new", "york"], [6]), (["the"], []), ([], []), (["dog", "dog"], [4])):
-        assert ids(search.phrase(d, words)) == want
-        assert ids(search.posting_phrase(p, search.query_terms(spark, words, whole=True))) == want
+WORDS = "amber basalt cedar delta ember fjord garnet the of".split()
+
+
+def made_up(rng, n):
+    return [None, "", "the of"] + [" ".join(rng.choice(WORDS) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(1, 9))) for _ in range(n)]
+
+
+def kept(text):
+    return [w.strip(",.") for w in (text or "").split() if w.strip(",.") not in ("the", "of")]
+
+
+def test_boolean_search_against_all_texts(spark):
+    rng = random.Random(1)
+    texts = made_up(rng, 40)
+    d, p = table(spark, texts), index.postings(table(spark, texts))
+    for words in (["cedar"], ["cedar", "ember"], ["ember", "cedar", "ember", "the"], ["Fjord,"], ["opal"], ["opal", "delta"]):
+        terms = {w.strip(",").lower() for w in words} - {"the"}
+        every, some = ([k for k, t in enumerate(texts) if f(w in kept(t) for w in terms)] for f in (all, any))
+        assert ids(search.search_and(d, words)) == ids(search.full_scan(d, " ".join(words))) == ids(search.posting_and(p, sorted(terms))) == every
+        assert ids(search.search_or(d, words)) == ids(search.posting_or(p, sorted(terms))) == some
+        assert ids(search.deleted(d, search.search_or(d, words))) == [k for k in range(len(texts)) if k not in some]
+    for nothing in ([], [""], ["the"], ["the", ","]):
+        assert ids(search.search_and(d, nothing)) == ids(search.search_or(d, nothing)) == ids(search.phrase(d, nothing)) == []
+    assert ids(search.full_scan(d, "")) == ids(search.keyword(d, "of")) == ids(search.posting_and(p, [])) == ids(search.posting_or(p, [])) == []
+    many = [f"w{k}" for k in range(80)]
+    wide = index.postings(table(spark, [" ".join(many), " ".join(many[1:])]))
+    assert ids(search.posting_and(wide, many)) == [0]
+
+
+def test_phrases_against_all_places(spark):
+    rng = random.Random(2)
+    texts = made_up(rng, 60) + ["delta delta", "cedar of the ember cedar ember", "cedar, ember. cedar"]
+    d, p = table(spark, texts), index.postings(table(spark, texts))
+    for words in (["cedar", "ember"], ["delta", "delta"], ["cedar", "ember", "cedar"], ["cedar", "ember", "cedar", "ember"], ["amber", "the", "basalt"], ["opal", "cedar"]):
+        terms = [w for w in words if w != "the"]
+        want = [k for k, t in enumerate(texts) if any(kept(t)[i : i + len(terms)] == terms for i in range(len(kept(t))))]
+        assert ids(search.phrase(d, words)) == ids(search.posting_phrase(p, search.query_terms(spark, words, whole=True))) == want
     with pytest.raises(NotImplementedError):
         search.phrase(d, [], positional=False)
 
 
-RANKS = [
-    (["test search project", "search engine is our project", "we need to finish the project"], "search engine project", 2, [(1, 0.5086), (0, 0.1761)]),
-    (["cat dog monkey", "hello world", "cat cute "], "cat dog", 2, [(0, 0.5086), (2, 0.1761)]),
-    (["An apple a day keeps a doctor away", "One rotten apple spoils the whole barrel", "Fortune knocks once at everyone's rotten door"], "apple apple rotten", None, [(1, 0.3735), (0, 0.3522), (2, 0.1761)]),
-    (["cat dog", "cat elephant", "wolf dog dog", "cat dog dog"], "cat dog dog", 3, [(3, 0.2794), (0, 0.2650), (2, 0.2499)]),
-    (["The purpose of life is to code", "The purpose of life of life of life is to eat good food", "Life of Pi is a good movie"], "The purpose of life is", 3, [(0, 0.1761), (1, 0.1761), (2, 0.0)]),
-    (["cat"], "unknown", None, []),
-    (["cat"], "cat", 0, []),
-]
+def test_stemmed_search(spark):
+    d = table(spark, ["Bridges were painted", "she paints a bridge daily", "painting; bridged, bridge", "a bridge", None, "repaint"])
+    stemming = porter.Stemming()
+    assert stemming.query(spark, ["Painting", "the", "bridges of"]) == ["paint", "bridg"] and stemming.query(spark, []) == []
+    p = stemming.places(d, ["paint", "bridg"])
+    assert ids(search.posting_or(p, ["paint"])) == [0, 1, 2] and ids(search.posting_and(p, ["paint", "bridg"])) == [0, 1, 2]
+    assert ids(search.posting_phrase(p, ["paint", "bridg"])) == [1, 2] and ids(search.posting_phrase(p, ["bridg", "bridg"])) == [2]
+    assert sorted((r.doc_id, r.pos, r.term) for r in stemming.tokens(d).filter("doc_id = 1").collect()) == [(1, 0, "paint"), (1, 1, "bridg"), (1, 2, "daili")]
+    assert stemming.places(d, []).count() == 0
+
+
+def plain_tfidf(texts, words):
+    n, query = len(texts), Counter(words)
+    df = {w: sum(w in kept(t) for t in texts) for w in query}
+    out = {}
+    for k, t in enumerate(texts):
+        tf = {w: kept(t).count(w) for w in query if w in kept(t)}
+        if tf:
+            v = {w: f * log10(n / df[w]) for w, f in tf.items()}
+            length = sum(x * x for x in v.values()) ** 0.5
+            out[k] = sum(x * query[w] * log10(n / df[w]) for w, x in v.items()) / length if length else 0.0
+    return out
+
+
+@pytest.mark.parametrize("query", [["cedar"], ["cedar", "ember", "cedar"], ["amber", "the", "opal", "fjord"], ["opal"], ["the"], []])
+def test_tfidf_against_a_plain_one(spark, query):
+    texts = made_up(random.Random(3), 50)
+    want = plain_tfidf(texts, [w for w in query if w != "the"])
+    for scored in (ranking.tfidf(table(spark, texts), query), ranking.tfidf_stemmed(table(spark, texts), query)):
+        got = {r.doc_id: r.score for r in scored.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    first = [r.doc_id for r in ranking.top(ranking.tfidf(table(spark, texts), query).withColumn("score", F.round("score", 9)), 4).collect()]
+    assert first == sorted(want, key=lambda k: (-round(want[k], 9), k))[:4]
+    assert ranking.top(ranking.tfidf(table(spark, texts), query), 0).count() == 0
 
 
-@pytest.mark.parametrize(("texts", "query", "k", "want"), RANKS)
-def test_tfidf(spark, texts, query, k, want):
-    got = [(r.doc_id, round(r.score, 4)) for r in ranking.top(ranking.tfidf(table(spark, texts), query.split()), k).collect()]
-    assert (got if k is not None else sorted(got, key=lambda x: (-x[1], x[0]))) == want
+def test_a_term_of_every_text_scores_nothing(spark):
+    got = {r.doc_id: r.score for r in ranking.tfidf(table(spark, ["cedar ember", "cedar"]), ["cedar"]).collect()}
+    assert got == {0: 0.0, 1: 0.0}
 
 
 def test_segments(spark):
     assert index.layout(20, 10, 8) == [10, 10] and index.layout(40, 10, 4) == [20, 20] and index.layout(100, 10, 10) == [20] * 5
     assert index.layout(0) == [] and index.layout(25, 10, 4) == [10, 10, 5]
-    d = table(spark, ["cat dog toy", "cat Dot", "cat dot toy", "cat toy Dog", "toy dog cat", "", "cat Dog"])
+    d = table(spark, ["cedar ember opal", "cedar Jade", "cedar jade opal", "cedar opal Ember", "opal ember cedar", "", "cedar Ember"])
     f = index.flushed(d, 3)
     assert sorted((r.doc_id, r.segment_id, r.local_id) for r in f.collect()) == [(k, k // 3, k % 3) for k in range(7)]
     df = {(r.segment_id, r.term): r.doc_ids for r in index.inverted_lists(f).collect()}
-    assert df[0, "cat"] == [0, 1, 2] and df[1, "dog"] == [0, 1] and df[2, "cat"] == [0]
+    assert df[0, "cedar"] == [0, 1, 2] and df[1, "ember"] == [0, 1] and df[2, "cedar"] == [0]
     m = index.merged_once(f)
     assert sorted((r.doc_id, r.segment_id, r.local_id) for r in m.collect()) == [(k, 0 if k < 6 else 1, k % 6) for k in range(7)]
     s = index.segmented(d.select("doc_id"), 1, 4)
     assert Counter(r.segment_id for r in s.collect()) == Counter({k: n for k, n in enumerate(index.layout(7, 1, 4))})
-    assert {r.term: r.df for r in index.term_stats(d).collect()} == {"cat": 6, "dog": 4, "toy": 4, "dot": 2}
+    assert {r.term: r.df for r in index.term_stats(d).collect()} == {"cedar": 6, "ember": 4, "opal": 4, "jade": 2}
+    assert {(r.segment_id, r.term): r.df for r in index.segment_df(f).collect()} == {k: len(v) for k, v in df.items()}
 
 
 def test_positions_in_postings(spark):
-    d = table(spark, ["cat dog bird penguin cat fish bird dog whale cat"])
-    assert {r.term: r.positions for r in index.postings(d).collect()} == {"cat": [0, 4, 9], "dog": [1, 7], "bird": [2, 6], "fish": [5], "penguin": [3], "whale": [8]}
+    d = table(spark, ["kelp moss fern of kelp. Reed fern the kelp"])
+    assert {r.term: r.positions for r in index.postings(d).collect()} == {"kelp": [0, 3, 6], "moss": [1], "fern": [2, 5], "reed": [4]}
 
 
 def test_segment_files(spark, tmp_path):
