@@ -1,7 +1,7 @@
 """Containers of fixed capacity filled with whole texts by minimum bin slack (problem 9).
 
-Texts fall into blocks by a hash of their id; a block has about ``BLOCK`` texts whatever the size of the
-collection, so blocks are packed independently and in parallel, and lose at most one partly filled container
+Texts, and pieces of longer ones, fall into blocks by a hash of their id; a block has about ``BLOCK`` of them whatever the
+size of the collection, so blocks are packed independently and in parallel, and lose at most one partly filled container
 each. In a block, each container starts with the largest text left; a subset-sum table over the lengths still
 available, held as the bits of one integer, finds the fullest feasible combination for the rest, which is then
 removed.
@@ -89,13 +89,18 @@ def containers(counted: DataFrame, settings: list[tuple[str, int]], block: int =
     ``(setting_name, capacity, container_id, doc_id, piece_no, start_token, n_tokens)``.
     """
     counted = materialize(counted)
-    blocks = max(1, -(-counted.count() // block))
-    given = F.array(*(F.struct(F.lit(s).alias("setting_name"), F.lit(c).cast("long").alias("capacity")) for s, c in settings))
     n, c = F.coalesce("n_tokens", F.lit(0)), F.col("capacity")
+    totals = counted.agg(*(F.sum(F.greatest(F.ceil(n / F.lit(cap)), F.lit(1))).alias(f"_{k}") for k, (_, cap) in enumerate(settings))).first() if settings else []
+    given = F.array(
+        *(
+            F.struct(F.lit(s).alias("setting_name"), F.lit(cap).cast("long").alias("capacity"), F.lit(max(1, -(-(m or 0) // block))).cast("long").alias("blocks"))
+            for (s, cap), m in zip(settings, totals)
+        )
+    )
     pieces = counted.select("doc_id", "n_tokens", F.inline(given)).withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / c) - 1, F.lit(0)).cast("int"))))
     start = F.col("piece_no") * c
-    pieces = pieces.select("setting_name", "capacity", "doc_id", "piece_no", start.alias("start_token"), F.least(n - start, c).alias("n_tokens"))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)))
+    pieces = pieces.select("setting_name", "capacity", "blocks", "doc_id", "piece_no", start.alias("start_token"), F.least(n - start, c).alias("n_tokens"))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("blocks"))).drop("blocks")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece_no", "ascending")])

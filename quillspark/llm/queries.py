@@ -38,7 +38,8 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    wanted = termweight.Wanted(least_tf=5, least_df=2, most_df=9, pattern="[a-z]{4,}")
+    # The model's own terms, those of positive converged weight, and of them the ones the counts allow.
+    wanted = termweight.Wanted(least_tf=5, least_df=2, most_df=9, pattern="[a-z]{4,}", least_weight=0.0)
     return termweight.term_weights(table(spark, d, "documents", "doc_id", "text"), wanted).select("doc_id", "term")
 
 

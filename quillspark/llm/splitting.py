@@ -1,15 +1,15 @@
 """Oversize texts cut into pieces at natural boundaries by balanced targets (problem 10).
 
 The least number of pieces is computed first, then equal-length targets; each target moves to the strongest
-boundary near it: end of a paragraph, of a sentence, of a line, of a word. If a piece cannot keep the limit, one
-more piece is used. Consecutive pieces share the given number of tokens, or up to three more where a character
+boundary near it: end of a paragraph, of a sentence, of a line, of a word. If a piece cannot keep the limit, more
+pieces are used. Consecutive pieces share the given number of tokens, or up to three more where a character
 spans tokens.
 
 Natural boundaries lie before a blank or after a full-width sentence mark, where the tokenizer's pattern splits
 in any case: so the tokens of a piece are those of the text, but for the first word where the overlap begins
 inside it; that word alone is measured again, and ``n_tokens`` is what encoding the piece gives.
 
-Defined results: null, empty and fitting texts have no pieces; the pieces without their overlaps, joined, are
+Defined results: an overlap that leaves less than ``ROOM`` tokens is an error; null, empty and fitting texts have no pieces; the pieces without their overlaps, joined, are
 the text; a stretch without any boundary that is longer than the limit is cut between characters, and it alone.
 """
 
@@ -30,6 +30,8 @@ _CLOSING = "\"'”’»)]」』）"
 PARAGRAPH, SENTENCE, LINE, WORD = 4, 3, 2, 1
 NEAR = 0.25
 """A target moves by up to this share of a piece to reach a stronger boundary."""
+ROOM = 8
+"""A piece must have room for so many tokens beside the overlap, as a character may span several."""
 
 
 def boundaries(text: str) -> tuple[list[int], list[int]]:
@@ -104,24 +106,23 @@ class Cutter:
 
     def pieces(self, capacity: int, overlap: int) -> list[tuple[int, int, int]]:
         """``(start, end, tokens)`` of each piece in tokens of the text; ``tokens`` as the piece itself encodes."""
-        overlap = max(0, min(overlap, capacity - 8))
-        least = max(2, -(-(self.n - overlap) // (capacity - overlap)))
-        for count in range(least, least + least // 2 + 3):
-            made = self._balanced(count, capacity, overlap)
-            if made:
-                return made
-        return self._balanced(None, capacity, overlap)
-
-    def _balanced(self, count: int | None, capacity: int, overlap: int) -> list[tuple[int, int, int]] | None:
-        """Pieces around equal targets; None if ``count`` of them cannot keep the limit. Without a count, each target is
-        that of the least number of pieces for the rest."""
+        if not 0 <= overlap <= capacity - ROOM:
+            raise ValueError(f"an overlap of {overlap} leaves no room for a character in pieces of {capacity}")
+        count = max(2, -(-(self.n - overlap) // (capacity - overlap)))
+        # With as many pieces as tokens the targets are so near that boundaries within the limit are always taken, so this ends.
+        while (made := self._balanced(count, capacity, overlap)) is None:
+            count += max(1, count // 16)
+        return made
+
+    def _balanced(self, count: int, capacity: int, overlap: int) -> list[tuple[int, int, int]] | None:
+        """Pieces around equal targets; None if ``count`` of them cannot keep the limit."""
         out: list[tuple[int, int, int]] = []
         s, e = 0, 0
         while True:
             head = self._head(s, capacity)
             if self.n - s + head <= capacity:
                 return [*out, (s, self.n, self.n - s + head)]
-            left = count - len(out) if count else max(2, -(-(self.n - s - overlap) // (capacity - overlap)))
+            left = count - len(out)
             if left < 2:
                 return None
             length = (self.n - s + (left - 1) * overlap) / left

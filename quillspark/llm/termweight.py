@@ -9,7 +9,7 @@ The converged probabilities are the weights; a term the background explains full
 
 Background counts are exact over all records. They are combined within batches before anything is shuffled, and
 broadcast if they are few, which is measured; else only the frequent part, of at most 1 / SHARE terms, is
-broadcast, and rare terms join. Both ways give the same numbers.
+broadcast, and rare terms join by themselves: no text is shuffled. Both ways give the same numbers.
 
 Defined results: null and empty texts have no terms; equal rows have equal results, each counted in the
 background; a row without an id has no result but counts.
@@ -80,11 +80,13 @@ def background(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Wanted:
-    """Which of the scored terms are kept; scores are always those of the whole record."""
+    """Which of the terms that the model keeps are put out; weights are always those of the whole record."""
 
-    def __init__(self, least_tf: int = 1, least_df: int = 1, most_df: int | None = None, pattern: str | None = None):
+    def __init__(self, least_tf: int = 1, least_df: int = 1, most_df: int | None = None, pattern: str | None = None, least_weight: float | None = None):
         self.least_tf, self.least_df, self.most_df = least_tf, least_df, most_df
         self.pattern = pattern
+        self.least_weight = least_weight
+        """Only terms of a weight above this; None: also those that the background explains fully."""
 
     def test(self):
         match = re.compile(self.pattern).fullmatch if self.pattern else None
@@ -95,60 +97,65 @@ _NAMES = ["doc_id", "term", "tf", "df", "weight"]
 _SCHEMA = "doc_id long, term string, tf int, df long, weight double"
 
 
-def _scored(rows, stats, total: int, wanted) -> pa.RecordBatch:
-    """``rows`` of (id, terms with counts, lookup beside ``stats``); records without a wanted term are not modelled."""
+def _scored(rows, stats, total: int, wanted: Wanted) -> pa.RecordBatch:
+    """``rows`` of (id, terms with counts, lookup beside ``stats``): each record is modelled and its terms with enough
+    weight are tested; a record that has no term to put out whatever its weight is left out before."""
     out: list[tuple] = []
+    test = wanted.test()
     for i, counts, more in rows:
         known = [(w, n, stats.get(w) or more[w]) for w, n in counts.items()]
-        chosen = [k for k, (w, n, s) in enumerate(known) if wanted(w, n, s[1])]
+        chosen = [k for k, (w, n, s) in enumerate(known) if test(w, n, s[1])]
         if not chosen:
             continue
         p = parsimonious(np.fromiter((n for _, n, _ in known), np.float64, len(known)), np.fromiter((s[0] for *_, s in known), np.float64, len(known)) / total)
-        out += [(i, known[k][0], known[k][1], known[k][2][1], float(p[k])) for k in chosen]
+        out += [(i, known[k][0], known[k][1], known[k][2][1], float(p[k])) for k in chosen if wanted.least_weight is None or p[k] > wanted.least_weight]
     cols = list(zip(*out)) if out else [[] for _ in _NAMES]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64()))], names=_NAMES)
 
 
+_BAG = "doc_id long, common array<struct<term: string, tf: int>>, rare array<struct<term: string, tf: int>>"
+
+
 def term_weights(documents: DataFrame, wanted: Wanted | None = None, id_column: str = "doc_id", text: str = "text", broadcast_terms: int = VOCABULARY) -> DataFrame:
     """``(doc_id, term, tf, df, weight)`` of the wanted terms of every record; ``df`` counts records."""
     spark = documents.sparkSession
-    test = (wanted or Wanted()).test
+    wanted = wanted or Wanted()
     stats = materialize(background(documents, text))
     total = stats.agg(F.sum("cf")).first()[0] or 1
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     whole = small(stats, broadcast_terms)
     known = stats if whole else stats.filter(F.col("cf") >= max(SHARE * total, total / broadcast_terms))
-    table = known.toArrow()
-    shared = spark.sparkContext.broadcast(pa_bytes(table))
+    shared = spark.sparkContext.broadcast(pa_bytes(known.toArrow()))
     if whole:
 
         def run(batches):
-            have, ok = _lookup(shared.value), test()
+            have = _lookup(shared.value)
             for b in batches:
-                yield _scored(((i, terms_of(t), None) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t), have, total, ok)
+                yield _scored(((i, terms_of(t), None) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t), have, total, wanted)
 
         return rows.mapInArrow(run, _SCHEMA)
 
-    def rare(batches):
+    def bags(batches):
         have = _lookup(shared.value)
         for b in batches:
-            ids, terms = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                new = [w for w in terms_of(t) if w not in have] if t else []
-                ids += [i] * len(new)
-                terms += new
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string())], names=["doc_id", "term"])
-
-    # A record has as many rare terms as it has, so the list of one record is bounded by its text.
-    joined = rows.mapInArrow(rare, "doc_id long, term string").distinct().join(stats, "term")
-    listed = joined.groupBy("doc_id").agg(F.collect_list(F.struct("term", "cf", "df")).alias("rare"))
-    both = rows.join(listed, "doc_id", "left")
+            made = [(i, terms_of(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t]
+            parts = [[[{"term": w, "tf": n} for w, n in c.items() if (w in have) is common] for _, c in made] for common in (True, False)]
+            kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int64()), *(pa.array(p, kind) for p in parts)], names=["doc_id", "common", "rare"])
+
+    # Texts stay where they are; each record's terms are written once, and only its rare ones join. Equal ids are told apart
+    # by the record's place, and a record has as many rare terms as it has, so their list is bounded by its text.
+    bag = materialize(rows.mapInArrow(bags, _BAG).withColumn("row", F.monotonically_increasing_id()))
+    rare = bag.select("row", F.explode("rare").alias("r")).select("row", F.col("r.term").alias("term"), F.col("r.tf").alias("tf")).join(stats, "term")
+    listed = rare.groupBy("row").agg(F.collect_list(F.struct("term", "tf", "cf", "df")).alias("rare"))
+    both = bag.select("row", "doc_id", "common").join(listed, "row", "left").select("doc_id", "common", "rare")
 
     def run_both(batches):
-        have, ok = _lookup(shared.value), test()
+        have = _lookup(shared.value)
         for b in batches:
-            more = ({x["term"]: (x["cf"], x["df"]) for x in r or ()} for r in b.column("rare").to_pylist())
-            yield _scored(((i, terms_of(t), m) for i, t, m in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), more) if t), have, total, ok)
+            ids, common, rare_ = (b.column(k).to_pylist() for k in range(3))
+            bags_ = ((i, {x["term"]: x["tf"] for x in (*c, *(r or ()))}, {x["term"]: (x["cf"], x["df"]) for x in r or ()}) for i, c, r in zip(ids, common, rare_))
+            yield _scored(bags_, have, total, wanted)
 
     return both.mapInArrow(run_both, _SCHEMA)
 

@@ -434,7 +434,7 @@ def prose(rng, n):
 
 
 @needs_ranks
-@pytest.mark.parametrize(("capacity", "overlap"), [(64, 0), (64, 16), (200, 32), (20, 50)])
+@pytest.mark.parametrize(("capacity", "overlap"), [(64, 0), (64, 16), (200, 32), (20, 12)])
 def test_pieces(ranks, capacity, overlap):
     rng = random.Random(11)
     texts = [prose(rng, 60), "x" * 3000, "学生は図書館を公開する。" * 60, "日" * 800, "\n".join(f"a{k} b" for k in range(400)), "  \n" * 500 + "end", "é" * 900, prose(rng, 5) + "z" * 2000 + prose(rng, 5)]
@@ -442,16 +442,23 @@ def test_pieces(ranks, capacity, overlap):
         ids = ranks.ids(t)
         c = splitting.Cutter(t, ids, ranks)
         pieces = c.pieces(capacity, overlap)
-        asked = max(0, min(overlap, capacity - 8))
         assert pieces[0][0] == 0 and pieces[-1][1] == len(ids)
         for (s, e, n), nxt in zip(pieces, [*pieces[1:], None]):
             text = t[c.char[s] : c.char[e]]
             assert n == len(ranks.ids(text)) <= capacity, (n, capacity, text[:50])
             if nxt:
-                assert asked <= e - nxt[0] <= asked + 3 and nxt[1] > e
+                assert overlap <= e - nxt[0] <= overlap + 3 and nxt[1] > e
         assert "".join(t[c.char[max(s, before)] : c.char[e]] for (s, e, _), before in zip(pieces, [0, *(p[1] for p in pieces)])) == t
 
 
+@needs_ranks
+def test_an_overlap_without_room_is_an_error(ranks):
+    t = "one two three four five six seven eight nine ten eleven twelve"
+    for overlap in (13, 20, 50, -1):
+        with pytest.raises(ValueError):
+            splitting.Cutter(t, ranks.ids(t), ranks).pieces(20, overlap)
+
+
 @needs_ranks
 def test_cuts_are_at_sentence_ends_where_there_are_any(ranks):
     t = prose(random.Random(12), 200)
