@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,9 +110,43 @@ P7_BORDA = (
 )
 
 
+def _formed(column: str) -> str:
+    """The form of problem 4 in SQL, as far as the tables go: full-width forms, ligatures, ignorable characters, blanks,
+    separate accents and look-alike letters. Other compatibility forms are left as they are."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+    blanks = "".join(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs") + "\t"
+    like = "".join(chr(c) for c in textform.TWIN)
+    twins = "".join(textform.TWIN.values())
+    ignored = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in textform.IGNORABLE)
+    out = f"regexp_replace({column}, '[{ignored}]', '', 'g')"
+    out = f"translate({out}, '{wide}', '{plain}')"
+    for c in range(0xFB00, 0xFB07):
+        out = f"replace({out}, '{chr(c)}', '{unicodedata.normalize('NFKC', chr(c))}')"
+    # Twins under accents: accents apart, twins replaced, composed again.
+    composed = [c for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)) if len(unicodedata.normalize("NFD", chr(c))) > 1 and ord(unicodedata.normalize("NFD", chr(c))[0]) in textform.TWIN]
+    for c in composed:
+        out = f"replace({out}, '{chr(c)}', '{unicodedata.normalize('NFD', chr(c))}')"
+    out = f"nfc_normalize(translate({out}, '{like}', '{twins}'))"
+    return f"replace(replace(translate({out}, '{blanks}', '{' ' * len(blanks)}'), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+P2 = f"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(lower({_formed('text')}), '\\p{{L}}+')) AS term FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)
+SELECT doc_id, term FROM counted JOIN (SELECT term FROM counted GROUP BY term HAVING count(*) BETWEEN 2 AND 9) USING (term) WHERE tf >= 5 AND regexp_full_match(term, '[a-z]{{4,}}')
+"""
+P4 = f"""
+WITH formed AS (SELECT doc_id, text, {_formed('text')} AS form FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM formed a JOIN formed b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id WHERE regexp_matches(a.form, '\\p{{L}}')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
     return {
+        "p2_found": P2,
+        "p4_found": P4,
         "p7_found": P7 + "SELECT query_id, doc_id FROM placed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pa + w * pb DESC, doc_id) <= coalesce(top_k, 5)",
         "p7_ranking": P7 + "SELECT query_id, doc_id, round(pa + w * pb, 9) AS points FROM placed",
         "p7_borda": P7_BORDA,

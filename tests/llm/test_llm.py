@@ -520,7 +520,7 @@ def test_queries_with_sql(spark):
     from quillspark.llm import queries as q
 
     con = duckdb.connect()
-    for n in ("page_scores", "search_queries"):
+    for n in ("page_scores", "search_queries", "documents"):
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{D}/{n}.parquet'")
     for name, sql in q.oracle_sql().items():
         got, want = q.queries()[name](spark, D).toPandas(), con.execute(sql).df()
