@@ -45,7 +45,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_weights(spark: SparkSession, d: str) -> DataFrame:
-    return termweight.term_weights(table(spark, d, "documents", "doc_id", "text"))
+    return termweight.term_weights(table(spark, d, "documents", "doc_id", "text")).withColumn("weight", F.round("weight", 6))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +136,18 @@ WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(lower({_formed('text')})
 counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)
 SELECT doc_id, term FROM counted JOIN (SELECT term FROM counted GROUP BY term HAVING count(*) BETWEEN 2 AND 9) USING (term) WHERE tf >= 5 AND regexp_full_match(term, '[a-z]{{4,}}')
 """
+# The model's optimum in closed form: terms by tf / background, kept as long as they lie above the level v of those before.
+P2_WEIGHTS = f"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(lower({_formed('text')}), '\\p{{L}}+')) AS term FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM counted GROUP BY term),
+grounded AS (SELECT *, {1 / termweight.LAMBDA - 1} * cf / (SELECT sum(cf) FROM stats) AS ground FROM counted JOIN stats USING (term)),
+levelled AS (SELECT *, sum(tf) OVER w / (1 + sum(ground) OVER w) AS v, row_number() OVER w AS k FROM grounded WINDOW w AS (PARTITION BY doc_id ORDER BY tf / ground DESC, term ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT doc_id, arg_max(v, k) AS v FROM levelled WHERE tf > v * ground GROUP BY doc_id),
+raw AS (SELECT doc_id, term, tf, df, greatest(tf / best.v - ground, 0) AS own FROM levelled JOIN best USING (doc_id))
+SELECT doc_id, term, CAST(tf AS INTEGER) AS tf, df, round(own / sum(own) OVER (PARTITION BY doc_id), 6) AS weight FROM raw
+"""
+P4_FORMS = f"SELECT doc_id, replace(replace(lower({_formed('text')}), 'ß', 'ss'), 'ς', 'σ') AS form FROM documents"
 P4 = f"""
 WITH formed AS (SELECT doc_id, text, {_formed('text')} AS form FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM formed a JOIN formed b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id WHERE regexp_matches(a.form, '\\p{{L}}')
@@ -146,7 +158,9 @@ def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in ``tests/llm``."""
     return {
         "p2_found": P2,
+        "p2_weights": P2_WEIGHTS,
         "p4_found": P4,
+        "p4_forms": P4_FORMS,
         "p7_found": P7 + "SELECT query_id, doc_id FROM placed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pa + w * pb DESC, doc_id) <= coalesce(top_k, 5)",
         "p7_ranking": P7 + "SELECT query_id, doc_id, round(pa + w * pb, 9) AS points FROM placed",
         "p7_borda": P7_BORDA,
