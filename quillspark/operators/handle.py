@@ -25,7 +25,7 @@ from quillspark.runtime import materialize
 from quillspark.sources.docstore import numbered
 
 ANALYZERS = {"naive": analysis.naive, "punctuation": analysis.punctuation, "standard": analysis.standard}
-_MANIFEST = "analyzer string, stemmed boolean, positional boolean, flush int, merge int, place int, folder string, n_docs long"
+_MANIFEST = "analyzer string, stemmed boolean, positional boolean, flush int, merge int, batch long, place int, folder string, n_docs long"
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,10 @@ class Settings:
 class Index:
     """The index in a folder; ``segments`` are ``(folder, number of documents)`` in order."""
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings, version: int, segments: list[tuple[str, int]]):
+    def __init__(self, spark: SparkSession, path: str, settings: Settings, version: int, segments: list[tuple[str, int]], batch: int = -1):
         self.spark, self.path, self.settings, self.version, self.segments = spark, path.rstrip("/"), settings, version, segments
+        self.batch = batch
+        """The last batch of a stream that was added, or -1."""
 
     # Opening
 
@@ -64,11 +66,16 @@ class Index:
         version = max(versions)
         rows = sorted(spark.read.schema(_MANIFEST).parquet(f"{path.rstrip('/')}/manifest/v{version}").collect(), key=lambda r: r.place)
         r = rows[0]
-        return cls(spark, path, Settings(r.analyzer, r.stemmed, r.positional, r.flush, r.merge), version, [(x.folder, x.n_docs) for x in rows if x.folder])
+        return cls(spark, path, Settings(r.analyzer, r.stemmed, r.positional, r.flush, r.merge), version, [(x.folder, x.n_docs) for x in rows if x.folder], r.batch)
+
+    @classmethod
+    def exists(cls, spark: SparkSession, path: str) -> bool:
+        files, folder = _folder(spark, f"{path.rstrip('/')}/manifest")
+        return files.exists(folder)
 
     def _commit(self, segments: list[tuple[str, int]]) -> None:
         s = self.settings
-        rows = [(s.analyzer, s.stemmed, s.positional, s.flush, s.merge, k, f, n) for k, (f, n) in enumerate([*segments, (None, 0)])]
+        rows = [(s.analyzer, s.stemmed, s.positional, s.flush, s.merge, self.batch, k, f, n) for k, (f, n) in enumerate([*segments, (None, 0)])]
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest/v{self.version + 1}")
         old = {f for f, _ in self.segments} - {f for f, _ in segments}
         self.version, self.segments = self.version + 1, segments
@@ -114,6 +121,17 @@ class Index:
         kept = [F.sort_array(F.collect_list("pos")).alias("positions")] if self.settings.positional else []
         return tokens.groupBy("chunk", "term", "local_id", "doc_id").agg(F.count("*").cast("int").alias("tf"), *kept)
 
+    def add_batch(self, documents: DataFrame, batch: int) -> Index:
+        """``add`` of one batch of a stream; a batch that comes again was added already and changes nothing."""
+        if batch <= self.batch:
+            return self
+        before, self.batch = self.batch, batch
+        try:
+            return self.add(documents)
+        except BaseException:
+            self.batch = before
+            raise
+
     def add(self, documents: DataFrame) -> Index:
         """Add ``documents(doc_id, text)`` in order of their ids: a segment for each ``flush`` of them, merging in pairs whenever
         there are ``merge`` segments; parts that end up in one segment are written once."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import first_line_id, second_line
+from quillspark.operators.handle import Index, Settings
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +22,11 @@ def web_documents(spark: SparkSession, path: str) -> DataFrame:
     return folder(spark, path).select(first_line_id(F.col("text")).alias("doc_id"), second_line(F.col("text")).alias("url"), "text")
 
 
+def index_folder(spark: SparkSession, texts: str, path: str, settings: Settings = Settings()) -> Index:
+    """An index at ``path`` over a folder of files with id, URL and text; files without an id have none and are left out."""
+    return Index.create(spark, path, settings).add(web_documents(spark, texts))
+
+
 def _pair(spark: SparkSession, path: str, names: tuple[str, str], kinds: tuple[str, str], **options) -> DataFrame:
     lines = spark.read.options(**options).text(path)
     parts = F.split(F.trim("value"), r"\s+")

@@ -134,6 +134,14 @@ def test_word_break(spark):
     assert [None if w is None else list(w) for w in got] == [["ai"], ["cat", "dog"], [], [], None, None, None, None]
 
 
+def test_japanese_word_break(spark):
+    words = spark.createDataFrame([("図書館", 40), ("図書", 5), ("館", 5), ("新しい", 20), ("建物", 20), ("は", 90), ("だ", 90)], "word string, freq long")
+    f = wordbreak.japanese_word_break(spark, words)
+    df = spark.createDataFrame([(0, "図書館は新しい建物だ"), (1, "未知"), (2, ""), (3, None)], "i int, t string")
+    got = [r.w for r in df.select("i", f("t").alias("w")).orderBy("i").collect()]
+    assert [None if w is None else list(w) for w in got] == [["図書館", "新しい", "建物"], None, [], None]
+
+
 def test_word_break_of_whole_texts(spark, tmp_path):
     from quillspark.plans import catalogue
 

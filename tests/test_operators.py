@@ -153,6 +153,10 @@ def test_file_readers(spark, tmp_path):
         (tmp_path / "c" / f"{n}").write_text(f"{n}\nhttp://h/{n}\nbody {n}")
     assert [r.ordinal for r in files.folder(spark, str(tmp_path / "c")).orderBy("ordinal").collect()] == [1, 2, 10]
     assert sorted((r.doc_id, r.url) for r in files.web_documents(spark, str(tmp_path / "c")).collect()) == [(1, "http://h/1"), (2, "http://h/2"), (10, "http://h/10")]
+    opened = files.index_folder(spark, str(tmp_path / "c"), str(tmp_path / "i"))
+    assert opened.size() == 3 and ids(opened.phrase(["body", "10"])) == [10]
+    (tmp_path / "u.tsv").write_text("7\thttp://h/7\n\n8 http://h/8\nx\n")
+    assert sorted(((r.id, r.url) for r in files.urls(spark, str(tmp_path / "u.tsv")).collect()), key=str) == [(7, "http://h/7"), (8, "http://h/8"), (None, None)]
     (tmp_path / "g.tsv").write_text("1\t2\n1 2\n\n3\t1\n")
     assert sorted((r.src, r.dst) for r in files.edges(spark, str(tmp_path / "g.tsv")).collect()) == [(1, 2), (1, 2), (3, 1)]
     (tmp_path / "d.txt").write_text("﻿The 5\ncat 2\n")

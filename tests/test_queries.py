@@ -41,3 +41,18 @@ def test_stream_ingest(spark, tmp_path):
     ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.segment_id, r.term, r.doc_id, r.tf) for r in got) == [(0, "cat", 1, 2), (0, "dog", 1, 1)]
+
+
+def test_stream_into_an_index(spark, tmp_path):
+    from quillspark.operators.handle import Index, Settings
+    from quillspark.streaming.ingest import ingest_index
+
+    path, source, cp = (str(tmp_path / x) for x in ("index", "in", "cp"))
+    for k, rows in enumerate(([(1, "fern moss fern"), (2, None)], [(3, "fern"), (4, "reed")])):
+        spark.createDataFrame(rows, "doc_id long, text string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+        ingest_index(stream, path, cp, Settings(flush=10)).awaitTermination()
+        assert Index.open(spark, path).batch == k
+    opened = Index.open(spark, path)
+    assert opened.size() == 4 and opened.num_segments() == 2 and sorted(r.doc_id for r in opened.keyword("fern").collect()) == [1, 3]
+    assert opened.add_batch(spark.createDataFrame([(9, "fern")], "doc_id long, text string"), 1).size() == 4
