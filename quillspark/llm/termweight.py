@@ -79,6 +79,9 @@ def background(documents: DataFrame, text: str = "text") -> DataFrame:
     return counted.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
+ONCE = (1, 1)
+
+
 class Wanted:
     """Which of the terms that the model keeps are put out; weights are always those of the whole record."""
 
@@ -103,7 +106,7 @@ def _scored(rows, stats, total: int, wanted: Wanted) -> pa.RecordBatch:
     out: list[tuple] = []
     test = wanted.test()
     for i, counts, more in rows:
-        known = [(w, n, stats.get(w) or more[w]) for w, n in counts.items()]
+        known = [(w, n, stats.get(w) or (ONCE if more is None else more[w])) for w, n in counts.items()]
         chosen = [k for k, (w, n, s) in enumerate(known) if test(w, n, s[1])]
         if not chosen:
             continue
@@ -123,8 +126,10 @@ def term_weights(documents: DataFrame, wanted: Wanted | None = None, id_column:
     stats = materialize(background(documents, text))
     total = stats.agg(F.sum("cf")).first()[0] or 1
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    whole = small(stats, broadcast_terms)
-    known = stats if whole else stats.filter(F.col("cf") >= max(SHARE * total, total / broadcast_terms))
+    # A term that is not looked up stands in one place of all: only the others have to be sent.
+    several = stats.filter("cf > 1")
+    whole = small(several, broadcast_terms)
+    known = several if whole else stats.filter(F.col("cf") >= max(SHARE * total, total / broadcast_terms))
     shared = spark.sparkContext.broadcast(pa_bytes(known.toArrow()))
     if whole:
 
