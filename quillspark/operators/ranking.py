@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections import Counter
 from math import log10
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,25 +135,86 @@ def blended(scored: DataFrame, ranks: DataFrame, weight: float, k: int | None) -
     return top(both.select("doc_id", (F.col("score") + F.lit(float(weight)) * F.coalesce("_pr", F.lit(0.0))).alias("score")), k)
 
 
+ASKED = 100_000
+"""So many terms of queries are compared with every document at most by one broadcast table."""
+
+
+SCORED = 500
+"""Documents are scored so many at a time."""
+
+
+class _Asked:
+    """The queries as arrays: for each term, which queries have it and with what weight."""
+
+    def __init__(self, weights: pa.Table, asked: pa.Table):
+        ids = asked.column("query_id").to_pylist()
+        self.ids, self.most = np.array(ids, np.int64), np.array(asked.column("_k").to_pylist(), np.int64)
+        self.share = np.array(asked.column("_weight").to_pylist(), np.float64)
+        number = {q: k for k, q in enumerate(ids)}
+        rows = sorted((t, number[q], n, x) for q, t, n, x in zip(*(weights.column(c).to_pylist() for c in ("query_id", "term", "_n", "_idf"))) if q in number)
+        self.terms = pa.array(sorted({r[0] for r in rows}), pa.string())
+        names = self.terms.to_pylist()
+        self.start = np.searchsorted([r[0] for r in rows], names) if rows else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(rows)))
+        self.query, self.count = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
+        self.idf = np.array([rows[k][3] for k in self.start], np.float64)
+
+    def scored(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of all hits of a batch ``(doc_id, words, rank)``."""
+        words = b.column(1)
+        term = np.asarray(pc.fill_null(pc.index_in(words.flatten(), self.terms), -1)).astype(np.int64)
+        row = np.repeat(np.arange(len(b)), np.asarray(pc.list_value_length(words)))
+        row, term = row[term >= 0], term[term >= 0]
+        places, tf = np.unique(row * max(len(self.terms), 1) + term, return_counts=True)
+        row, term = places // max(len(self.terms), 1), places % max(len(self.terms), 1)
+        v = tf * self.idf[term]
+        many = self.size[term]
+        at = np.repeat(self.start[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        row, v, idf = np.repeat(row, many), np.repeat(v, many), np.repeat(self.idf[term], many)
+        pairs, where = np.unique(row * len(self.ids) + self.query[at], return_inverse=True)
+        dot, square = np.bincount(where, v * self.count[at] * idf, len(pairs)), np.bincount(where, v * v, len(pairs))
+        query, row = pairs % max(len(self.ids), 1), pairs // max(len(self.ids), 1)
+        rank = np.asarray(b.column(2).fill_null(0.0))[row]
+        score = np.divide(dot, np.sqrt(square), out=np.zeros(len(pairs)), where=square > 0) + self.share[query] * rank
+        return query, np.asarray(b.column(0))[row], np.round(score, 12)
+
+    def first(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first hits of each query by score, then by document."""
+        order = np.lexsort((doc, -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.most[query]
+        return query[keep], doc[keep], score[keep]
+
+
 def ranked_queries(documents: DataFrame, queries: DataFrame, ranks: DataFrame, analyzer: Analyzer = standard, default_k: int = 5) -> DataFrame:
     """``(query_id, doc_id, score)``: the first ``top_k`` documents of every row of ``queries(query_id, terms, top_k,
     page_rank_weight)`` by the blended score, then id; null: ``default_k`` and 1.
 
-    The documents are read once for all queries; only tokens that some query has leave the scan.
+    Each document is scored for all queries where its row is, and a task puts out no more than the first documents of each
+    query, so what is shuffled grows with tasks and queries, not with hits. Queries of more than ``ASKED`` terms in all are
+    an error.
     """
+    spark = documents.sparkSession
     words = queries.select("query_id", F.explode("terms").alias("_w")).select("query_id", F.get(analyzer(F.col("_w")), F.lit(0)).alias("term"))
     wanted = materialize(words.filter("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("_n")))
-    terms = broadcast_if_small(wanted.select("term").distinct(), 500_000)
-    tokens = documents.select("doc_id", F.explode(analyzer(F.col("text"))).alias("term"))
-    tf = materialize(tokens.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("_tf")))
-    idf = tf.groupBy("term").agg(F.log10(F.lit(documents.count()) / F.count("*")).alias("_idf"))
-    weights = materialize(wanted.join(idf, "term"))
-    parts = tf.join(broadcast_if_small(weights, 500_000), "term").withColumn("_v", F.col("_tf") * F.col("_idf"))
-    sums = parts.groupBy("query_id", "doc_id").agg(F.sum(F.col("_v") * F.col("_n") * F.col("_idf")).alias("_dot"), F.sum(F.col("_v") * F.col("_v")).alias("_square"))
-    scored = sums.select("query_id", "doc_id", F.when(F.col("_square") > 0, F.col("_dot") / F.sqrt("_square")).otherwise(0.0).alias("score"))
+    if not small(wanted, ASKED):
+        raise ValueError(f"the queries have more than {ASKED} terms")
+    terms = sorted(r.term for r in wanted.select("term").distinct().collect())
+    hits = documents.select("doc_id", F.filter(analyzer(F.col("text")), lambda t: t.isin(terms)).alias("words")).filter(F.size("words") > 0)
+    hits = materialize(hits.join(ranks.select(F.col("id").alias("doc_id"), F.col("score").alias("rank")), "doc_id", "left").select("doc_id", "words", "rank"))
+    df = hits.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
+    weights = wanted.join(F.broadcast(df), "term").withColumn("_idf", F.log10(F.lit(documents.count()) / F.col("_df")))
     asked = queries.select("query_id", F.coalesce("top_k", F.lit(default_k)).alias("_k"), F.coalesce("page_rank_weight", F.lit(1.0)).alias("_weight"))
-    both = scored.join(ranks.select(F.col("id").alias("doc_id"), F.col("score").alias("_pr")), "doc_id", "left").join(broadcast_if_small(asked, 500_000), "query_id")
-    both = both.withColumn("score", F.round(F.col("score") + F.col("_weight") * F.coalesce("_pr", F.lit(0.0)), 12))
-    most = asked.agg(F.max("_k")).first()[0] or 0  # a fixed bound lets each task keep the first rows of a query only
-    first = both.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("_rn") <= most)
-    return first.filter(F.col("_rn") <= F.col("_k")).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    shared = spark.sparkContext.broadcast(_Asked(weights.toArrow(), asked.toArrow()))
+
+    def run(batches):
+        asked, best = shared.value, None
+        for b in (b.slice(k, SCORED) for b in batches for k in range(0, len(b), SCORED)):
+            found = asked.scored(b)
+            best = asked.first(*(found if best is None else (np.concatenate(x) for x in zip(best, found))))
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "doc_id", "score"])
+
+    first = hits.mapInArrow(run, "query_id long, doc_id long, score double").withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return first.join(F.broadcast(asked), "query_id").filter(F.col("_rn") <= F.col("_k")).select("query_id", "doc_id", F.round("score", 6).alias("score"))
