@@ -26,6 +26,8 @@ WORDS = 5_000_000
 RUN = 256
 """A run has at most so many words: of words that a dictionary counts at least once in 10**16, it never falls below ``FLOOR``."""
 HEAD = 4
+KEPT = 128
+"""Results of inputs of up to so many characters are kept, for a bounded number of them."""
 
 
 class Heads(dict):
@@ -102,12 +104,20 @@ def word_break(spark: SparkSession, dictionary: DataFrame, stop=STOP_WORDS, fold
     def broken(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         log_p = shared.value
         longest, heads = max(map(len, log_p), default=0), Heads(log_p)
+        kept: dict[str, list[str] | None] = {}  # lines of menus and footers come again and again
 
         def one(t):
             if t is None or FORBIDDEN.search(t):
                 return None
+            if t in kept:
+                return kept[t]
             words = segment(t.lower() if fold_case else t, log_p, longest, floor, heads)
-            return None if words is None else [w for w in words if w not in stops]
+            found = None if words is None else [w for w in words if w not in stops]
+            if len(t) <= KEPT:
+                if len(kept) > 100_000:
+                    kept.clear()
+                kept[t] = found
+            return found
 
         for texts in batches:
             yield texts.map(one, na_action=None)

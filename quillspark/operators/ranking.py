@@ -104,14 +104,16 @@ def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, cut_every: in
     parts = [weighted.repartition("src").persist()]
     if not small(hubs, 0):
         # Their number is bounded by edges / hub_edges; their edges stay where they are and their ranks are broadcast.
-        known = broadcast_if_small(hubs, 1_000_000)
+        few = small(hubs, 1_000_000)
+        known = F.broadcast(hubs) if few else hubs
         parts = [weighted.join(known, "src", "left_anti").repartition("src").persist(), weighted.join(known, "src", "left_semi").persist()]
     ranks = ids.withColumn("rank", F.lit(1.0))
     for k in range(1, iterations + 1):
         of = ranks.select(F.col("id").alias("src"), "rank")
         sent = parts[0].join(of, "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("w")).alias("v"))
         if len(parts) > 1:
-            hub_ranks = F.broadcast(of.join(known, "src", "left_semi"))
+            hub_ranks = of.join(known, "src", "left_semi")
+            hub_ranks = F.broadcast(hub_ranks) if few else hub_ranks
             sent = sent.unionByName(parts[1].join(hub_ranks, "src").select(F.col("dst").alias("id"), (F.col("rank") * F.col("w")).alias("v")))
         # Every node sends itself 0, so nodes without incoming edges stay, without a join.
         sent = sent.unionByName(ids.withColumn("v", F.lit(0.0)))

@@ -91,6 +91,18 @@ def small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+MOST_BYTES = 256 << 20
+"""Texts in a broadcast table have at most so many bytes in all."""
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast of ``df`` if its row count, which is measured, is within the bound; a shuffled join otherwise."""
-    return F.broadcast(df) if small(df, max_rows) else df
+    """Hint a broadcast of ``df`` if its rows and the bytes of its strings, which are measured, are within the bounds; a shuffled
+    join otherwise."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    if not texts:
+        return F.broadcast(df) if small(df, max_rows) else df
+    size = F.lit(0).cast("long")
+    for t in texts:
+        size = size + t
+    m = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("size")).first()
+    return F.broadcast(df) if m.n <= max_rows and (m.size or 0) <= MOST_BYTES else df
