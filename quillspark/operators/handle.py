@@ -115,9 +115,10 @@ class Index:
 
     def _analysed(self, rows: DataFrame) -> DataFrame:
         """Postings of ``rows(chunk, local_id, doc_id, text)``; words are stemmed once each, not at every place."""
-        tokens = rows.select("chunk", "local_id", "doc_id", F.posexplode(ANALYZERS[self.settings.analyzer](F.col("text"))).alias("pos", "term"))
-        if self.settings.stemmed:
-            tokens = porter.stem_tokens(tokens)
+        analyzer = ANALYZERS[self.settings.analyzer]
+        if not self.settings.stemmed:
+            return (index.postings if self.settings.positional else index.frequencies)(rows, analyzer, ("chunk", "local_id"))
+        tokens = porter.stem_tokens(rows.select("chunk", "local_id", "doc_id", F.posexplode(analyzer(F.col("text"))).alias("pos", "term")))
         kept = [F.sort_array(F.collect_list("pos")).alias("positions")] if self.settings.positional else []
         return tokens.groupBy("chunk", "term", "local_id", "doc_id").agg(F.count("*").cast("int").alias("tf"), *kept)
 

@@ -7,8 +7,12 @@ Empty documents have no postings but count in every N.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import codec
 from quillspark.functions.analysis import Analyzer, standard
@@ -61,15 +65,49 @@ def segmented(documents: DataFrame, flush: int = FLUSH, merge: int = MERGE) -> D
     return rows.withColumn("segment_id", seg).withColumn("local_id", F.col("ordinal") - low).drop("ordinal")
 
 
+def _listed(positional: bool):
+    """Rows ``(row, tokens)`` of a batch -> ``(row, term, tf[, positions])``, each row by itself."""
+
+    def run(batches):
+        for b in batches:
+            tokens = b.column(1)
+            n = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+            coded = tokens.flatten().dictionary_encode()
+            of, code = np.repeat(np.arange(len(b)), n), np.asarray(coded.indices)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((place, code, of))
+            of, code, place = of[order], code[order], place[order].astype(np.int32)
+            first = np.ones(len(of), bool)
+            first[1:] = (of[1:] != of[:-1]) | (code[1:] != code[:-1])
+            starts = np.flatnonzero(first)
+            ends = np.append(starts[1:], len(of)) if len(starts) else starts
+            columns = [b.column(0).take(pa.array(of[starts])), coded.dictionary.take(pa.array(code[starts])), pa.array((ends - starts).astype(np.int32))]
+            if positional:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)).astype(np.int32)), pa.array(place)))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "term", "tf", "positions"][: len(columns)])
+
+    return run
+
+
+def _in_rows(documents: DataFrame, analyzer: Analyzer, keep: tuple[str, ...], positional: bool) -> DataFrame:
+    """A document is one row, so its terms are counted where the row is, and nothing is shuffled."""
+    names = [*keep, "doc_id"]
+    rows = documents.select(F.struct(*names).alias("row"), analyzer(F.col("text")).alias("tokens"))
+    schema = T.StructType([rows.schema["row"], T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+    if positional:
+        schema = schema.add("positions", T.ArrayType(T.IntegerType()))
+    made = rows.mapInArrow(_listed(positional), schema)
+    return made.select(*(F.col(f"row.{c}").alias(c) for c in keep), "term", F.col("row.doc_id").alias("doc_id"), "tf", *(["positions"] if positional else []))
+
+
 def postings(documents: DataFrame, analyzer: Analyzer = standard, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(*keep, term, doc_id, tf, positions)``. A document's terms come from one row, so counts need no further row."""
-    tokens = documents.select(*keep, "doc_id", F.posexplode(analyzer(F.col("text"))).alias("pos", "term"))
-    return tokens.groupBy(*keep, "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """``(*keep, term, doc_id, tf, positions)``, for documents of different ids."""
+    return _in_rows(documents, analyzer, keep, True)
 
 
 def frequencies(documents: DataFrame, analyzer: Analyzer = standard, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(*keep, term, doc_id, tf)``, without positions."""
-    return documents.select(*keep, "doc_id", F.explode(analyzer(F.col("text"))).alias("term")).groupBy(*keep, "term", "doc_id").agg(F.count("*").alias("tf"))
+    return _in_rows(documents, analyzer, keep, False)
 
 
 def term_stats(documents: DataFrame, analyzer: Analyzer = standard) -> DataFrame:

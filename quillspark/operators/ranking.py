@@ -71,9 +71,13 @@ def tfidf_stemmed(documents: DataFrame, keywords: list[str], analyzer: Analyzer
     return of_postings(found, query_weights(found, counts, documents.count()))
 
 
-def top(scored: DataFrame, k: int | None) -> DataFrame:
-    """The first ``k`` rows by score, then id; all for None, none for 0."""
-    return scored if k is None else scored.orderBy(F.desc("score"), "doc_id").limit(k)
+BEST_FIRST = (("score", False), ("doc_id", True))
+"""How results compare: columns, and whether they rise."""
+
+
+def top(scored: DataFrame, k: int | None, order: tuple[tuple[str, bool], ...] = BEST_FIRST) -> DataFrame:
+    """The first ``k`` rows in ``order``; all for None, none for 0."""
+    return scored if k is None else scored.orderBy(*(F.asc(c) if rises else F.desc(c) for c, rises in order)).limit(k)
 
 
 def top_per_segment(scored: DataFrame, k: int) -> DataFrame:

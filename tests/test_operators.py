@@ -96,6 +96,8 @@ def test_tfidf_against_a_plain_one(spark, query):
     first = [r.doc_id for r in ranking.top(ranking.tfidf(table(spark, texts), query).withColumn("score", F.round("score", 9)), 4).collect()]
     assert first == sorted(want, key=lambda k: (-round(want[k], 9), k))[:4]
     assert ranking.top(ranking.tfidf(table(spark, texts), query), 0).count() == 0
+    last = ranking.top(ranking.tfidf(table(spark, texts), query).withColumn("score", F.round("score", 9)), 4, (("score", True), ("doc_id", False)))
+    assert [r.doc_id for r in last.collect()] == sorted(want, key=lambda k: (round(want[k], 9), -k))[:4]
 
 
 def test_a_term_of_every_text_scores_nothing(spark):
